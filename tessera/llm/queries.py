@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exactdup, mixing, packing, topk
-from tessera.llm.common import documents
+from tessera.llm import exactdup, langid, mixing, packing, quality, topk, toxicity
+from tessera.llm.common import documents, id_bucket
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -21,6 +21,27 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_path())
 
 
+def _held_out(modulus: int, remainder: int):
+    return F.coalesce(id_bucket("doc_id", modulus) == remainder, F.lit(False))
+
+
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), _held_out(3, 1)
+    return langid.predict(docs, langid.fit(docs, ~held_out), also={"held_out": held_out})
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), _held_out(5, 0)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.score(docs, toxicity.fit(docs, labels, ~held_out), also={"held_out": held_out})
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), _held_out(5, 0)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.score(docs, quality.fit(docs, labels, ~held_out), also={"held_out": held_out})
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
 
@@ -36,7 +57,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
+    "op2_langid": op2_langid,
+    "op3_toxicity": op3_toxicity,
     "op4_mix": op4_mix,
+    "op5_quality": op5_quality,
     "op7_topk": op7_topk,
     "op10_exact_dedup": op10_exact_dedup,
 }
