@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exactdup, langid, lm, mixing, packing, quality, topk, toxicity
+from tessera.llm import exactdup, langid, lm, mixing, packing, quality, repeats, topk, toxicity
 from tessera.llm.common import documents, id_bucket
 
 
@@ -51,6 +51,10 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 20 == 0)
 
 
+def op8_strip_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.strip_repeats(documents(spark, sf_dir))
+
+
 def op9_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = _held_out(5, 1)
     return lm.score(documents(spark, sf_dir), ~held_out, also={"held_out": held_out})
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix": op4_mix,
     "op5_quality": op5_quality,
     "op7_topk": op7_topk,
+    "op8_strip_repeats": op8_strip_repeats,
     "op9_hmm": op9_hmm,
     "op10_exact_dedup": op10_exact_dedup,
 }
