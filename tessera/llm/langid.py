@@ -110,14 +110,14 @@ def predict(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", text_col
     """id, the columns of also, lang_pred and score, for every row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.col(id_col), *[c.alias(n) for n, c in (also or {}).items()], letters.alias("letters"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col), *[c.alias(n) for n, c in (also or {}).items()], letters.alias("__letters"), F.col(text_col).alias("__text"))
     kept = rows.columns[:-2]
 
     def run(batches):
         m = shared.value
         for batch in batches:
-            for part, buf, off in K.chunks(batch, "text"):
-                known = np.asarray(part.column(part.schema.get_field_index("letters")).to_numpy(zero_copy_only=False), bool)
+            for part, buf, off in K.chunks(batch, "__text"):
+                known = np.asarray(part.column(part.schema.get_field_index("__letters")).to_numpy(zero_copy_only=False), bool)
                 lang, score = np.full(len(known), "und", object), np.zeros(len(known))
                 if m.langs:
                     p = m.posterior(buf, off)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exactdup, langid, lm, mixing, packing, quality, repeats, topk, toxicity
+from tessera.llm import exactdup, langid, lm, mixing, neardup, packing, quality, repeats, topk, toxicity
 from tessera.llm.common import documents, id_bucket
 
 
@@ -46,6 +46,10 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf_dir))
 
 
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_groups(documents(spark, sf_dir), threshold=85)
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return topk.top_k(vectors, F.col("vec_id") % 20 == 0)
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_mix": op4_mix,
     "op5_quality": op5_quality,
+    "op6_neardup": op6_neardup,
     "op7_topk": op7_topk,
     "op8_strip_repeats": op8_strip_repeats,
     "op9_hmm": op9_hmm,

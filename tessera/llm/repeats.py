@@ -5,7 +5,7 @@ covered goes. The suffixes to be sorted are dealt out by content: among the subs
 `length` bytes, the one with the least hash (the leftmost of equals) is its anchor, so equal strings have equal anchors
 at equal places, wherever they stand. Consecutive starts with the same anchor make one segment.
 
-1. One pass finds which anchors occur twice or more. A Bloom filter of them, at most MAX_FILTER_BITS in size, goes out.
+1. One pass finds which anchors occur twice or more. A Bloom filter of them, bounded in size, goes out.
 2. A second pass cuts the segments of such anchors. Equal segments of a batch are combined: the first is passed on, the
    others are covered already, so a passage in a third of all documents costs each batch one row.
 3. Segments meet by anchor. There the suffix sort runs: suffixes are merge-sorted by their first `length` bytes; two are
@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import bloom as B
 from tessera.llm import kernels as K
 from tessera.llm.common import materialise, partitions
 
 GRAM = 32
-MAX_FILTER_BITS = 1 << 28
 HOT = 4096
 BUCKET_BYTES = 16 << 20
 SEGMENTS = "kind int, key long, id long, tie long, start long, stop long, anchor int, content binary"
@@ -243,42 +243,6 @@ def _repeated(anchors: DataFrame) -> DataFrame:
     return anchors.groupBy("part").applyInArrow(run, "part int, n long, hashes binary")
 
 
-def _filter(repeated: DataFrame, bits: int) -> np.ndarray:
-    """A Bloom filter as bytes; each part fills its own stretch. Its size follows the number of anchors up to
-    MAX_FILTER_BITS, beyond which it only lets more segments through."""
-    n = repeated.agg(F.sum("n")).first()[0] or 0
-    size = max(1 << 16, 8 << bits)
-    while size < 16 * n and size < max(MAX_FILTER_BITS, 8 << bits):
-        size *= 2
-
-    def run(batches):
-        for batch in batches:
-            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.zeros(size >> bits, bool)
-                for x in _bits(np.frombuffer(blob.as_py(), np.uint64), size):
-                    own[x & ((size >> bits) - 1)] = True
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
-
-    whole = np.zeros(size // 8, np.uint8)
-    for r in repeated.select("part", "hashes").mapInArrow(run, "part int, bits binary").collect():
-        whole[r["part"] * (size >> bits) // 8 : (r["part"] + 1) * (size >> bits) // 8] = np.frombuffer(r["bits"], np.uint8)
-    return whole
-
-
-def _bits(h: np.ndarray, size: int) -> list[np.ndarray]:
-    """Two places of a hash within the stretch of its part; both keep the leading bits."""
-    shift = 64 - size.bit_length() + 1
-    first = (h >> np.uint64(shift)).astype(np.int64)
-    return [first, first ^ (K.mix(h) & np.uint64(0x3FF)).astype(np.int64)]
-
-
-def _maybe(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    out = np.ones(len(h), bool)
-    for x in _bits(h, len(bits) * 8):
-        out &= (bits[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1
-    return out
-
-
 def _emit(kind: int, columns: list, content: list[bytes | None]) -> pa.RecordBatch:
     arrays = [np.full(len(content), kind, np.int32), *columns]
     return pa.RecordBatch.from_arrays([*[pa.array(x, t) for x, t in zip(arrays, _KINDS, strict=False)], pa.array(content, pa.binary())], _NAMES)
@@ -308,7 +272,7 @@ def _cut_segments(docs: DataFrame, bloom, length: int) -> DataFrame:
             for part, buf, off in K.chunks(batch, "text"):
                 prefix = K.prefix_hash(buf)
                 first, last, anchor, h = segments(prefix, off, length)
-                some = _maybe(h, bloom.value) if len(h) else np.zeros(0, bool)
+                some = B.maybe(h, bloom.value) if len(h) else np.zeros(0, bool)
                 first, last, anchor, h = first[some], last[some], anchor[some], h[some]
                 doc = np.searchsorted(off, first, "right") - 1
                 rows = _rows(buf, first, most)
@@ -355,19 +319,15 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
     spark = docs.sparkSession
-    parts = 1
-    while parts < partitions(spark):
-        parts *= 2
-    bits = max(6, parts.bit_length() - 1)
+    bits = B.leading_bits(partitions(spark))
     repeated = materialise(_repeated(_anchors(docs, length, bits)), "anchors")
-    bloom = spark.sparkContext.broadcast(_filter(repeated, bits))
+    bloom = spark.sparkContext.broadcast(B.build(repeated, bits))
     cut = materialise(_cut_segments(docs, bloom, length), "segments")
     segs = cut.where("kind = 0")
     hot = segs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key")
     anew = materialise(_deal_anew(segs.join(hot, "key", "left_semi"), length), "dealt-anew")
     meet = segs.join(hot, "key", "left_anti").select(*_NAMES).unionByName(anew.where("kind = 0"))
-    groups = max(parts, 1)
-    meet = meet.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(4 * groups)).cast("int"))
+    meet = meet.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(4 << bits)).cast("int"))
 
     def run(table: pa.Table) -> pa.Table:
         key, id_, tie, start, stop, anchor = _arrays(table)

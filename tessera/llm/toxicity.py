@@ -260,12 +260,12 @@ def score(docs: DataFrame, model: TextCnn, id_col: str = "doc_id", text_col: str
 def score_texts(docs: DataFrame, scorer, id_col: str, text_col: str, also: dict[str, Column] | None, threshold: float) -> DataFrame:
     """Runs a scorer of (bytes, offsets) over all texts; the model is broadcast once."""
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
-    rows = docs.select(F.col(id_col), *[c.alias(n) for n, c in (also or {}).items()], F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col), *[c.alias(n) for n, c in (also or {}).items()], F.col(text_col).alias("__text"))
     kept = rows.columns[:-1]
 
     def run(batches):
         for batch in batches:
-            for part, buf, off in K.chunks(batch, "text"):
+            for part, buf, off in K.chunks(batch, "__text"):
                 s = shared.value(buf, off)
                 columns = [part.column(i) for i in range(len(kept))]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], [*kept, "score", "predicted"])
