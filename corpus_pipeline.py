@@ -1,6 +1,74 @@
+"""From raw documents to packed training sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir), works on everything that its predecessor kept, and returns a DataFrame that is
+written before the next stage reads it. All but the last return the columns of documents. Defined results: null texts
+count as empty and null sources are a source; rows equal in id and text count as copies of each other and one stays; a
+null id is an id like any other; empty tables stay empty; extra columns pass through up to the last stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import exactdup, mixing, neardup, packing, quality
+from tessera.llm.common import documents, id_bucket, materialise
+from tessera.llm.queries import tokenizer_path
+
+
+def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose id is among the kept; one of each if an id is kept several times."""
+    ids = materialise(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).withColumnRenamed("doc_id", "kept_id"), "kept")
+    match = F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    once = docs.join(ids.where("rows = 1"), match, "left_semi")
+    if ids.where("rows > 1").isEmpty():
+        return once
+    return once.unionByName(docs.join(ids.where("rows > 1"), match, "left_semi").dropDuplicates(["doc_id"]))
+
+
+def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts. It learns from the labels outside the held-out fifth."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.fit(docs, labels, F.coalesce(id_bucket("doc_id", 5) != 0, F.lit(False)))
+    carried = {f"__c{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)}
+    scored = quality.score(docs, model, also=carried).where("predicted = 1")
+    return scored.select([F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest id."""
+    return _keep(docs, exactdup.exact_groups(docs, keep="max").where("kept").select("doc_id"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by a similarity of 0.8 or more on shingles of five words, the row with the least id."""
+    return _keep(docs, neardup.near_groups(docs).where("kept").select("doc_id"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at weights 1, 2, 3, repeating; a document comes up to three times."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 1024 tokens: a row for each piece."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality classifier", filter_quality),
+    ("exact dedup", drop_exact_copies),
+    ("MinHash near-dedup", drop_near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
+
+#: The quality classifier is a trained model, which SQL cannot express; tests hold the stages against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+    return STAGES[-1][1](spark, docs, sf_dir)
