@@ -31,10 +31,13 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bloom as B
 from tessera.llm import kernels as K
-from tessera.llm.common import materialise, partitions
+from tessera.llm.common import discard, materialise, partitions
 
 GRAM = 32
 HOT = 4096
+#: Hot anchors are broadcast up to this many (512 kB), else joined by a shuffle.
+MAX_BROADCAST_KEYS = 1 << 16
+ZSTD = {"compression": "zstd"}
 BUCKET_BYTES = 16 << 20
 SEGMENTS = "kind int, key long, id long, tie long, start long, stop long, anchor int, content binary"
 _NAMES = ["kind", "key", "id", "tie", "start", "stop", "anchor", "content"]
@@ -66,7 +69,8 @@ def segments(prefix: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarr
     new[1:] = anchor[1:] != anchor[:-1]
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(start)) - 1
-    return start[first], start[last], anchor[first], h[anchor[first]]
+    # the least hashes crowd near zero; mixed again they spread over all values
+    return start[first], start[last], anchor[first], K.mix(h[anchor[first]] + np.uint64(1))
 
 
 def _rows(bytes_: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
@@ -322,10 +326,13 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     bits = B.leading_bits(partitions(spark))
     repeated = materialise(_repeated(_anchors(docs, length, bits)), "anchors")
     bloom = spark.sparkContext.broadcast(B.build(repeated, bits))
-    cut = materialise(_cut_segments(docs, bloom, length), "segments")
+    cut = materialise(_cut_segments(docs, bloom, length), "segments", options=ZSTD)
     segs = cut.where("kind = 0")
     hot = segs.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("key")
-    anew = materialise(_deal_anew(segs.join(hot, "key", "left_semi"), length), "dealt-anew")
+    hot = materialise(hot, "hot")
+    if hot.count() <= MAX_BROADCAST_KEYS:
+        hot = F.broadcast(hot)
+    anew = materialise(_deal_anew(segs.join(hot, "key", "left_semi"), length), "dealt-anew", options=ZSTD)
     meet = segs.join(hot, "key", "left_anti").select(*_NAMES).unionByName(anew.where("kind = 0"))
     meet = meet.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(4 << bits)).cast("int"))
 
@@ -336,7 +343,10 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
 
     spans = meet.groupBy("part").applyInArrow(run, "id long, tie long, start long, stop long")
     known = cut.where("kind = 1").unionByName(anew.where("kind = 1")).select("id", "tie", "start", "stop")
-    return spans.unionByName(known)
+    out = materialise(spans.unionByName(known), "spans", options=ZSTD)
+    for done in (repeated, cut, anew):
+        discard(done)
+    return out
 
 
 def strip_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -344,7 +354,7 @@ def strip_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", te
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
-    spans = materialise(repeated_spans(rows, length), "spans")
+    spans = repeated_spans(rows, length)
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     buckets = max(partitions(spark), -(-2 * size // BUCKET_BYTES)) if size < 1 << 60 else partitions(spark)
     bucket = F.pmod(F.xxhash64("id", "tie"), F.lit(buckets)).cast("int").alias("bucket")
