@@ -31,11 +31,13 @@ def fit_once(sample: DataFrame, fit: Callable[[pa.Table], object]) -> object:
     """Runs fit on the whole sample in one task and brings the model to the driver. The sample is bounded by its maker;
     rows are sorted, so the model doesn't depend on how they were dealt."""
     columns = sample.columns
+    empty = pa.table({c: pa.array([], pa.string()) for c in columns})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = list(batches)
-        table = pa.Table.from_batches(got) if got else pa.table({c: pa.array([], pa.string()) for c in columns})
+        table = pa.Table.from_batches(got) if got else empty
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(table))], pa.binary())], ["model"])
 
     one = sample.repartition(1).sortWithinPartitions(*[c for c in columns if c != "text"])
-    return pickle.loads(one.mapInArrow(run, "model binary").first()["model"])
+    row = one.mapInArrow(run, "model binary").first()
+    return pickle.loads(row["model"]) if row else fit(empty)
