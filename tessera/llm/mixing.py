@@ -127,5 +127,5 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataF
     counts once for each of its rows."""
     _, mix = fair_queue(docs, id_col=id_col, **options)
     times = mix.groupBy("id", "epoch").agg(F.count(F.lit(1)).alias("rows")).groupBy("id").agg(F.count(F.lit(1)).alias("times"))
-    out = docs.join(times, docs[id_col].eqNullSafe(times["id"]))
+    out = docs.join(times.hint("merge"), docs[id_col].eqNullSafe(times["id"]))
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select([docs[c] for c in docs.columns])
