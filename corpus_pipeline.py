@@ -17,13 +17,14 @@ from tessera.llm.queries import tokenizer_path
 
 
 def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose id is among the kept; one of each if an id is kept several times."""
+    """The rows of docs whose id is among the kept; one of each if an id is kept several times. The join is a merge join
+    at every size, so what it shuffles is in proportion to the input."""
     ids = materialise(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).withColumnRenamed("doc_id", "kept_id"), "kept")
     match = F.col("doc_id").eqNullSafe(F.col("kept_id"))
-    once = docs.join(ids.where("rows = 1"), match, "left_semi")
+    once = docs.join(ids.where("rows = 1").hint("merge"), match, "left_semi")
     if ids.where("rows > 1").isEmpty():
         return once
-    return once.unionByName(docs.join(ids.where("rows > 1"), match, "left_semi").dropDuplicates(["doc_id"]))
+    return once.unionByName(docs.join(ids.where("rows > 1").hint("merge"), match, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
