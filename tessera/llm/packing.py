@@ -17,6 +17,7 @@ ignored.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_left
 
@@ -30,6 +31,8 @@ from tessera.llm.common import materialise
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: The pre-tokenizer of the byte-level vocabularies, a fixed value of their format.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters with the Unicode property White_Space, a fixed value; runs of so many are cut out before splitting.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{256,}")
 _encoders: dict = {}
 
 
@@ -50,6 +53,20 @@ def encoder(path: str):
     return _encoders[path]
 
 
+def encode(bpe, text: str) -> list[int]:
+    """Ids of a text. The splitter's lookahead recurses on long white space, so such runs are split here by the same rule:
+    all but the last character of a run, or the whole run at the end of the text, is one piece."""
+    ids: list[int] = []
+    at = 0
+    for run in LONG_SPACE.finditer(text):
+        stop = run.end() - (run.end() < len(text))
+        ids += bpe.encode_ordinary(text[at : run.start()])
+        ids += bpe._encode_single_piece(text[run.start() : stop])
+        at = stop
+    ids += bpe.encode_ordinary(text[at:] if at else text)
+    return ids
+
+
 def tokenise(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str, with_ids: bool = False) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, and the ids if asked for."""
 
@@ -58,7 +75,7 @@ def tokenise(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col
         for batch in batches:
             out: list = [[], [], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = bpe.encode_ordinary(text or "")
+                ids = encode(bpe, text or "")
                 ids.append(end_id)
                 ids = np.array(ids, "<u4")
                 n = len(ids)

@@ -115,6 +115,16 @@ def test_pack(odd, odd_rows):
     assert len(bins) <= -(-sum(g["length"] for g in got) // 64) * 1.03 + 1
 
 
+def test_long_white_space_packs_as_the_reference_tokenizer_has_it():
+    from tokenizers import Tokenizer
+
+    ref, own = Tokenizer.from_file(tokenizer_path()), packing.encoder(tokenizer_path())
+    for text in ("x" + " " * 300 + "y z", " " * 300 + "\n\n  " + "\t" * 400, "a\n" + "\n" * 500 + "b", " " * 999 + "'s", "!" * 700 + " " * 256, "q" + " " * 256 + "\tq", "<|endoftext|> a"):
+        ref.encode_special_tokens = True
+        assert packing.encode(own, text) == ref.encode(text, add_special_tokens=False).ids
+    assert len(packing.encode(own, " " * 1_000_000)) > 0
+
+
 def test_pack_empty(none):
     assert packing.pack(none, tokenizer_path()).isEmpty()
 
