@@ -12,12 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 _made: list[tuple[SparkSession, str]] = []
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """df with its lineage cut: a Parquet table under spark.checkpoint.dir (a temporary folder where that is unset)."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, deleted when Python ends."""
     top = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
     path = f"{top.rstrip('/')}/tessera-graph/{name}-{uuid.uuid4().hex}"
     _made.append((spark, path))
+    return path
+
+
+def cut(df: DataFrame, name: str = "step") -> DataFrame:
+    """df with its lineage cut: a Parquet table under spark.checkpoint.dir (a temporary folder where that is unset)."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1028,3 +1028,82 @@ def windowed_contingency(spark, d):
 @query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type AS cluster, count(*) AS n, round(avg(value), 6) AS mean, round(avg((value > 0)::INT), 6) AS fraction FROM events GROUP BY ALL")
 def windowed_profile(spark, d):
     return rounded(ST.windowed_profile(table(spark, d, "events"), "event_type", "value", window="1 day"), "mean", "fraction")
+
+
+# --- further views of the same operators --------------------------------------------------------------------------------
+
+
+@query("WITH " + knn_sql(14).replace(DIST["euclidean"], "pow(list_sum(list_transform(range(1, len(a.x) + 1), lambda i: pow(abs(a.x[i] - b.x[i]), 3))), 1 / 3)") + f" {_KNN}")
+def knn_distances_minkowski(spark, d):
+    return _knn(spark, d, metric="minkowski", p=3.0)
+
+
+@query("SELECT vec_id AS id, " + ", ".join(f'(label = {i})::DOUBLE AS "{i}"' for i in range(10)) + " FROM embeddings")
+def membership_wide(spark, d):
+    return wide(one_hot(truth(spark, d), "id", "cluster"), [str(i) for i in range(10)])
+
+
+@query(f"""WITH {EDGES}, {CODES}, g AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, sum(weight) AS w FROM e GROUP BY 1, 2), m AS (SELECT sum(w) AS m FROM g),
+    x AS (SELECT i.res_id, w, i.cluster AS la, j.cluster AS lb FROM g JOIN lab i ON i.id = a JOIN lab j ON j.id = b AND j.res_id = i.res_id),
+    k AS (SELECT res_id, l, sum(w) AS d FROM (SELECT res_id, la AS l, w FROM x UNION ALL SELECT res_id, lb, w FROM x) GROUP BY ALL),
+    q AS (SELECT res_id, sum(w) FILTER (WHERE la = lb) AS i FROM x GROUP BY 1), z AS (SELECT res_id, sum(d * d) AS dd FROM k GROUP BY 1), c AS (SELECT res_id, count(DISTINCT cluster) AS n FROM lab GROUP BY 1)
+    SELECT res_id, n AS n_clusters, 0::BIGINT AS n_noise, round(i / m - dd / (4 * m * m), 6) AS modularity FROM q JOIN z USING (res_id) JOIN c USING (res_id), m""")
+def multires_metrics(spark, d):
+    return rounded(CM.clustering_metrics(weighted_edges(spark, d), codes(spark, d), ["res_id"]), "modularity")
+
+
+@query(f"WITH {P}, {CODES} SELECT res_id / 10 AS best FROM (SELECT res_id, count(DISTINCT cluster) AS n FROM lab GROUP BY 1) ORDER BY n DESC, res_id LIMIT 1")
+def best_resolution(spark, d):
+    c = codes(spark, d).groupBy((F.col("res_id") / 10).alias("resolution")).agg(F.count_distinct("cluster").alias("n_clusters"))
+    return spark.createDataFrame([(MR.best_resolution(c, "n_clusters"),)], "best double")
+
+
+@query(f"WITH {P}, {CODES} SELECT res_id AS level, cluster, round(avg(id), 6) AS x FROM lab GROUP BY ALL")
+def hierarchy_mean_positions(spark, d):
+    order = points(spark, d).select("id", F.col("id").alias("position"))
+    return rounded(PF.mean_positions(order, _levels(spark, d)), "x")
+
+
+@query(f"WITH {P}, {CODES} SELECT id FROM lab WHERE res_id = 2 AND cluster = 3")
+def hierarchy_members(spark, d):
+    return H.cluster_members(_levels(spark, d), 2, 3)
+
+
+@query(f"WITH {P}, {CODES}, z AS (SELECT res_id AS level, cluster, count(*) AS size, list(id ORDER BY id) AS members FROM lab WHERE res_id = 1 GROUP BY ALL) SELECT level, cluster, 'L' || level || '_C' || cluster AS name, size, members FROM z")
+def hierarchy_nodes_members(spark, d):
+    return H.hierarchy_nodes(_levels(spark, d).where("level = 1"), members=True)
+
+
+@query()
+def hierarchy_layout(spark, d):
+    lev = _levels(spark, d)
+    return spark.createDataFrame(H.tree_layout(H.hierarchy_nodes(lev), H.hierarchy_edges(lev)), "level int, cluster int, x double, y double")
+
+
+@query(f"WITH {_RUNS3}, z AS (SELECT rep, cluster, count(*) AS s FROM r GROUP BY ALL), f AS (SELECT cluster, dense_rank() OVER (ORDER BY cluster) - 1 AS t FROM (SELECT DISTINCT cluster FROM r)) SELECT CAST(t AS INTEGER) AS track_id, round(avg(s), 6) AS mean_size FROM z JOIN f USING (cluster) GROUP BY t ORDER BY avg(s) DESC, t LIMIT 2")
+def top_tracks(spark, d):
+    r = _runs3(spark, d)
+    top = TR.top_tracks(TR.track_consistency(r, TR.cluster_tracks(r)), 2)["mean_size"]
+    return rounded(top.select("track_id", "mean_size"), "mean_size")
+
+
+@query(f"WITH {_LONG}, g AS (SELECT cluster, property, avg(value) AS v FROM y GROUP BY ALL) SELECT cluster, property, round(20 + 180 * (v - min(v) OVER (PARTITION BY property)) / (max(v) OVER (PARTITION BY property) - min(v) OVER (PARTITION BY property) + 1e-8), 5) AS marker FROM g")
+def profile_markers(spark, d):
+    out = PF.size_map(PF.cluster_profile(expression(spark, d), line_labels(spark, d)))
+    return out.select("cluster", "property", F.round("marker", 5).alias("marker"))
+
+
+@query(f"WITH t AS (SELECT lang AS a, source AS b, count(*) AS n FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY ALL), {_AGREE}")
+def agreement_documents(spark, d):
+    docs = table(spark, d, "documents").where("lang is not null and source is not null")
+    return rounded(CT.agreement(CT.contingency_of(docs, "lang", "source")), *_AGREE_COLUMNS)
+
+
+@query("SELECT vec_id AS id, CAST(label AS VARCHAR) AS truth FROM embeddings")
+def dataset_round_trip(spark, d):
+    from tessera.durable import new_path
+
+    data = dataset(spark, d).add_obs("truth", truth(spark, d))
+    path = new_path(spark, "dataset")
+    data.write(path)
+    return Dataset.read(spark, path).obs.select("id", "truth")
