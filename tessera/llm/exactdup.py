@@ -7,8 +7,8 @@ their bytes verified: of each digest the smallest and the largest text must be t
 split by their text, so even colliding digests give right groups.
 
 Defined results: null text counts as empty; every input row gives one output row; rows that repeat an id with the same
-text count in group_size, and each of them is marked kept if its id is the group's; a null id never stays if the group
-has another. An empty table gives no rows. Extra columns are ignored.
+text count in group_size, and each of them is marked kept if its id is the group's; a null id stays only if the group
+has no other. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -101,7 +101,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = index.lookup()
     return found.select(
         F.col("id").alias(id_col), "keep_id", "group_size",
-        F.coalesce(F.col("id") == F.col("keep_id"), F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("digest"),
+        F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("digest"),
     )
 
 
