@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on everything that its predecessor kept, and returns a DataFrame that is
 written before the next stage reads it. All but the last return the columns of documents. Defined results: null texts
-count as empty and null sources are a source; rows equal in id and text count as copies of each other and one stays; a
-null id is an id like any other; empty tables stay empty; extra columns pass through up to the last stage.
+count as empty and null sources are a source; rows equal in id and text count as copies of each other and one stays; an
+id that repeats with other texts stands for all its rows; a null id is an id like any other; empty tables stay empty;
+extra columns pass through up to the last stage.
 """
 
 from __future__ import annotations
@@ -17,14 +18,16 @@ from tessera.llm.queries import tokenizer_path
 
 
 def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose id is among the kept; one of each if an id is kept several times. The join is a merge join
-    at every size, so what it shuffles is in proportion to the input."""
-    ids = materialise(kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).withColumnRenamed("doc_id", "kept_id"), "kept")
-    match = F.col("doc_id").eqNullSafe(F.col("kept_id"))
-    once = docs.join(ids.where("rows = 1").hint("merge"), match, "left_semi")
-    if ids.where("rows > 1").isEmpty():
+    """The rows of docs whose id is among the kept; where an id is kept several times, one row of each of its texts. The
+    join is a merge join at every size, so what it shuffles is in proportion to the input."""
+    ids = kept.groupBy(F.col("doc_id").alias("__kept")).agg(F.count(F.lit(1)).alias("__rows"))
+    ids = materialise(ids, "kept")
+    match = F.col("doc_id").eqNullSafe(F.col("__kept"))
+    once = docs.join(ids.where("__rows = 1").hint("merge"), match, "left_semi")
+    if ids.where("__rows > 1").isEmpty():
         return once
-    return once.unionByName(docs.join(ids.where("rows > 1").hint("merge"), match, "left_semi").dropDuplicates(["doc_id"]))
+    more = docs.join(ids.where("__rows > 1").hint("merge"), match, "left_semi").withColumn("__text", exactdup.normalised(F.col("text")))
+    return once.unionByName(more.dropDuplicates(["doc_id", "__text"]).drop("__text"))
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
