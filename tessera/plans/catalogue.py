@@ -530,10 +530,10 @@ def dominant_class(spark, d):
 
 
 def _start(spark, d) -> DataFrame:
-    return one_hot(truth(spark, d).where("id % 3 = 0"), "id", "cluster")
+    return one_hot(truth(spark, d), "id", "cluster")
 
 
-_WALK = f"{EDGES}, w AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS w FROM e), s0 AS (SELECT id, CAST(label AS VARCHAR) AS class, 1.0::DOUBLE AS p FROM p WHERE id % 3 = 0)"
+_WALK = f"{EDGES}, w AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS w FROM e), s0 AS (SELECT id, CAST(label AS VARCHAR) AS class, 1.0::DOUBLE AS p FROM p)"
 _STEP = "s{b} AS (SELECT id, class, sum(p) AS p FROM (SELECT src AS id, class, {alpha} * w * p AS p FROM w JOIN s{a} ON s{a}.id = w.dst UNION ALL SELECT id, class, (1 - {alpha}) * p FROM s0) GROUP BY ALL)"
 
 
@@ -709,9 +709,9 @@ def coassoc_distance(spark, d):
     return rounded(CO.distances(CO.coassociation(runs(spark, d))), "weight")
 
 
-@query(f"WITH {RUNS} SELECT a.id AS src, b.id AS dst, round(1 - coalesce(weight, 0), 6) AS distance FROM p a JOIN p b ON a.id < b.id LEFT JOIN c ON c.src = a.id AND c.dst = b.id WHERE a.id < 120 AND b.id < 120")
+@query(f"WITH {RUNS} SELECT a.id AS src, b.id AS dst, round(1 - coalesce(weight, 0), 6) AS distance FROM p a JOIN p b ON a.id < b.id LEFT JOIN c ON c.src = a.id AND c.dst = b.id")
 def coassoc_dense(spark, d):
-    return rounded(CO.dense_distances(_coassoc(spark, d), points(spark, d).where("id < 120")), "distance")
+    return rounded(CO.dense_distances(_coassoc(spark, d), points(spark, d)), "distance")
 
 
 @query(f"""WITH {RUNS}, z AS (SELECT label AS cluster, count(*) AS n FROM p GROUP BY 1), t AS (SELECT count(*) AS t FROM p),
@@ -782,8 +782,8 @@ def strongest_parent(spark, d):
     return rounded(E.strongest(e).select("dst.level", F.col("src").alias("parent"), "dst.child", "weight"), "weight")
 
 
-def _dense(spark, d, n: int = 120) -> DataFrame:
-    return cut(CO.dense_distances(_coassoc(spark, d), points(spark, d).where(F.col("id") < n)), "dense")
+def _dense(spark, d) -> DataFrame:
+    return cut(CO.dense_distances(_coassoc(spark, d), points(spark, d)), "dense")
 
 
 @query()
@@ -948,7 +948,7 @@ def umap_layout(spark, d):
 
 @query()
 def tsne_layout(spark, d):
-    return DE.tsne(points(spark, d).where("id < 200"), epochs=60)
+    return DE.tsne(points(spark, d), epochs=60)
 
 
 # --- composites -------------------------------------------------------------------------------------------------------------
@@ -963,7 +963,10 @@ def pp_neighbors_transitions(spark, d):
     return pp.neighbors(dataset(spark, d), 15).obsp["transitions"].withColumn("weight", F.round("weight", 5))
 
 
-@query()
+_BOTH_WAYS = "v AS (SELECT src, dst, hits / n AS w FROM h JOIN pot USING (src, dst) WHERE src <> dst) SELECT src, dst, round(max(w), 6) AS weight FROM (SELECT src, dst, w FROM v UNION ALL SELECT dst, src, w FROM v) GROUP BY ALL"
+
+
+@query(f"WITH {_SPLIT_KNN}, h AS (SELECT src, dst, count(*) AS hits FROM k GROUP BY ALL), {_BOTH_WAYS}")
 def pp_consensus_neighbors(spark, d):
     return rounded(pp.consensus_neighbors(dataset(spark, d), 15, SPLITS).obsp["connectivities"], "weight")
 
@@ -973,7 +976,7 @@ def pp_mutual_neighbors(spark, d):
     return rounded(pp.mutual_neighbors(dataset(spark, d), 15).obsp["connectivities"], "weight")
 
 
-@query()
+@query(f"WITH {_SPLIT_KNN}, h AS (SELECT a.src, a.dst, count(*) AS hits FROM k a JOIN k b ON a.split_id = b.split_id AND a.src = b.dst AND a.dst = b.src GROUP BY ALL), {_BOTH_WAYS}")
 def pp_consensus_mutual_neighbors(spark, d):
     return rounded(pp.consensus_mutual_neighbors(dataset(spark, d), 15, SPLITS).obsp["connectivities"], "weight")
 
