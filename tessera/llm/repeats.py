@@ -333,12 +333,22 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     if hot.count() <= MAX_BROADCAST_KEYS:
         hot = F.broadcast(hot)
     anew = materialise(_deal_anew(segs.join(hot, "key", "left_semi"), length), "dealt-anew", options=ZSTD)
-    meet = segs.join(hot, "key", "left_anti").select(*_NAMES).unionByName(anew.where("kind = 0"))
+    meet = segs.join(hot, "key", "left_anti").select(*_NAMES[1:]).unionByName(anew.where("kind = 0").select(*_NAMES[1:]))
     meet = meet.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(4 << bits)).cast("int"))
 
+    most = 2 * length - GRAM
+
     def run(table: pa.Table) -> pa.Table:
         key, id_, tie, start, stop, anchor = _arrays(table)
-        seg, a, b = covered(key, id_, tie, start, stop, anchor.astype(np.int64), table.column("content").to_pylist(), length)
+        content, size = table.column("content").to_pylist(), stop - start
+        # equal segments of different tasks: all but the earliest are covered, and the suffix sort sees each once
+        origin = np.cumsum(size) - size
+        rows = _rows(np.frombuffer(b"".join(content), np.uint8), origin, most)
+        rows[np.arange(most) >= size[:, None]] = 0
+        first = combine(key, anchor.astype(np.int64) << 32 | size, rows, id_, tie, start, stop)
+        own, rest = np.flatnonzero(first), np.flatnonzero(~first)
+        seg, a, b = covered(key[own], id_[own], tie[own], start[own], stop[own], anchor[own].astype(np.int64), [content[i] for i in own], length)
+        seg, a, b = np.concatenate([own[seg], rest]), np.concatenate([a, start[rest]]), np.concatenate([b, stop[rest]])
         return pa.table({"id": pa.array(id_[seg]), "tie": pa.array(tie[seg]), "start": pa.array(a, pa.int64()), "stop": pa.array(b, pa.int64())})
 
     spans = meet.groupBy("part").applyInArrow(run, "id long, tie long, start long, stop long")
