@@ -114,12 +114,17 @@ def suffix_order(data: np.ndarray, at: np.ndarray, group: np.ndarray, length: in
 
     def common(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Length of the common extension of the suffixes x and y, at most `length`."""
-        low, high = np.zeros(len(x), np.int64), np.full(len(x), length)
-        while (open_ := low < high).any():
-            mid = (low + high + 1) >> 1
-            same = (prefix[x + mid] - prefix[x]) * inverse[x] == (prefix[y + mid] - prefix[y]) * inverse[y]
-            low = np.where(open_ & same, mid, low)
-            high = np.where(open_ & ~same, mid - 1, high)
+        px, py, ix, iy = prefix[x], prefix[y], inverse[x], inverse[y]
+        low = np.where((prefix[x + length] - px) * ix == (prefix[y + length] - py) * iy, length, 0)
+        at = np.flatnonzero(low == 0)
+        x, y, px, py, ix, iy = x[at], y[at], px[at], py[at], ix[at], iy[at]
+        a, b = np.zeros(len(at), np.int64), np.full(len(at), length - 1)
+        for _ in range(length.bit_length()):
+            mid = (a + b + 1) >> 1
+            same = (prefix[x + mid] - px) * ix == (prefix[y + mid] - py) * iy
+            a, b = np.where(same, mid, a), np.where(same, b, mid - 1)
+            b = np.maximum(a, b)
+        low[at] = a
         return low
 
     def less(x: np.ndarray, y: np.ndarray) -> np.ndarray:
