@@ -263,7 +263,10 @@ def score(docs: DataFrame, train: Column, states: int = 8, symbols: int = 1 << 1
     tokens, types = int(sum(r["n"] for r in by_symbol)) + texts, types + (texts > 0)
 
     seeds = []
-    for r in encoded.where("kind = 0").orderBy(F.xxhash64("b", F.length("a"))).limit(4).select("a", "b").collect():
+    order = F.xxhash64("b", F.length("a"))
+    first = encoded.where("kind = 0").select(order.alias("h")).distinct().orderBy("h").limit(4).collect()
+    chosen = encoded.where("kind = 0").where(order.isin([x["h"] for x in first])).select("a", "b").distinct().collect() if first else []
+    for r in sorted(chosen, key=lambda x: bytes(x["a"])):
         ends = np.cumsum(np.frombuffer(r["b"], np.int32))
         part = np.frombuffer(r["a"], np.uint16)
         seeds += [x for x in np.split(part, ends[:-1])[:64] if len(x) >= 20] if len(ends) else []
