@@ -116,6 +116,18 @@ ORACLE: dict[str, str] = {
               FROM v a, v b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    "op8_strip_repeats": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS m FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS i FROM d)),
+        f AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY m ORDER BY doc_id, i) > 1),
+        b AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM f),
+        k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM b),
+        s AS (SELECT doc_id, k, min(i) AS a, max(i) + 100 AS z FROM k GROUP BY ALL),
+        p AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS e FROM s),
+        g AS (SELECT p.doc_id, CAST(sum(z - a) AS BIGINT) AS r, count(*) AS c, max(z) AS z, string_agg(substr(h, 2 * e + 1, 2 * (a - e)), '' ORDER BY a) AS t FROM p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id)
+        SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(r, 0) AS n_removed, coalesce(c, 0) AS n_spans,
+          sha256(unhex(coalesce(t, '') || substr(h, 2 * coalesce(z, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN g ON g.doc_id = d.doc_id""",
     "op10_exact_dedup": r"""
         WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
