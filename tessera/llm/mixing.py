@@ -73,7 +73,7 @@ def _running(rows: DataFrame, cell_rows: int) -> DataFrame:
     return rows.withColumn("ahead", F.col("start") + F.sum("size").over(within)).drop("start", "cell", "source_key")
 
 
-def fair_queue(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = 3, seed: int = 13, cell_rows: int = 20_000, budget: int | None = None) -> tuple[DataFrame, DataFrame]:
+def fair_queue(docs: DataFrame, weights: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_repeats: int = 3, seed: int = 13, cell_rows: int = 2_000, budget: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Two tables: the documents (id, source, size, source_size, target, ahead) and the mix (id, source, size, epoch,
     finish, and the rank columns shuffled and ahead), both without text. weights(source, weight) are whole numbers;
     None gives 1, 2, 3, 1, .. by rank. budget None means the size of the whole input."""
