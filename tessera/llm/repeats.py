@@ -79,15 +79,18 @@ def _rows(bytes_: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(padded, size)[start]
 
 
-def combine(key, shape, content, id_, tie, start, stop) -> np.ndarray:
-    """True for the earliest of the segments that are equal: same key and shape, same bytes. content holds a row of
-    bytes for each."""
+def combine(key, shape, content, id_, tie, start, stop) -> tuple[np.ndarray, np.ndarray]:
+    """(first, later): the earliest of the segments that are equal, and those that it covers. Equal are same key and
+    shape, same bytes; content holds a row of bytes for each. A segment that has the place of the first too comes from a
+    row equal in id and text: it is the same segment again, neither first nor covered."""
     order = np.lexsort((start, tie, id_, shape, key))
     same = (key[order][1:] == key[order][:-1]) & (shape[order][1:] == shape[order][:-1])
     same &= (content[order[1:]] == content[order[:-1]]).all(axis=1)
-    first = np.ones(len(key), bool)
+    first, later = np.ones(len(key), bool), np.zeros(len(key), bool)
     first[order[1:]] = ~same
-    return first
+    lead = order[np.maximum.accumulate(np.where(first[order], np.arange(len(order)), 0))]
+    later[order] = (id_[order] != id_[lead]) | (tie[order] != tie[lead]) | (start[order] != start[lead])
+    return first, later
 
 
 def unite(owner: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -260,10 +263,10 @@ def _emit(kind: int, columns: list, content: list[bytes | None]) -> pa.RecordBat
 def _split(key, id_, tie, start, stop, anchor, content: np.ndarray, length: int):
     """Batches of the segments to pass on (kind 0) and of the spans that are covered already (kind 1)."""
     shape = anchor.astype(np.int64) << 32 | (stop - start)
-    first = combine(key, shape, content, id_, tie, start, stop)
+    first, later = combine(key, shape, content, id_, tie, start, stop)
     i = np.flatnonzero(first)
     yield _emit(0, [key[i], id_[i], tie[i], start[i], stop[i], anchor[i]], [content[j, : stop[j] - start[j]].tobytes() for j in i])
-    i = np.flatnonzero(~first)
+    i = np.flatnonzero(later)
     owner = _pair_rank(id_[i], tie[i]) if len(i) else i
     owners, a, b = unite(owner, start[i], stop[i])
     if len(owners):
@@ -350,8 +353,8 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
         origin = np.cumsum(size) - size
         rows = _rows(np.frombuffer(b"".join(content), np.uint8), origin, most)
         rows[np.arange(most) >= size[:, None]] = 0
-        first = combine(key, anchor.astype(np.int64) << 32 | size, rows, id_, tie, start, stop)
-        own, rest = np.flatnonzero(first), np.flatnonzero(~first)
+        first, later = combine(key, anchor.astype(np.int64) << 32 | size, rows, id_, tie, start, stop)
+        own, rest = np.flatnonzero(first), np.flatnonzero(later)
         seg, a, b = covered(key[own], id_[own], tie[own], start[own], stop[own], anchor[own].astype(np.int64), [content[i] for i in own], length)
         seg, a, b = np.concatenate([own[seg], rest]), np.concatenate([a, start[rest]]), np.concatenate([b, stop[rest]])
         return pa.table({"id": pa.array(id_[seg]), "tie": pa.array(tie[seg]), "start": pa.array(a, pa.int64()), "stop": pa.array(b, pa.int64())})

@@ -266,6 +266,18 @@ def test_repeats(odd, odd_rows):
     assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got.collect()) == brute(100)
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+@pytest.mark.parametrize("hot", [4096, 1])
+def test_repeats_of_whole_rows(spark, monkeypatch, parts, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    text, other = " ".join(f"w{i}" for i in range(90)), " ".join(f"v{i}" for i in range(90))
+    rows = [(1, text)] * 3 + [(2, text + " tail")] * 2 + [(3, other)] * 2 + [(None, other + " " + other)] * 2
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)
+    want = Counter([(1, 0, text)] * 3 + [(2, len(text), " tail")] * 2 + [(3, len(other), "")] * 2 + [(None, len(other), other + " ")] * 2)
+    got = repeats.strip_repeats(df, 100, with_text=True).collect()
+    assert Counter((r["doc_id"], r["n_removed"], bytes(r["kept_text"]).decode()) for r in got) == want
+
+
 def test_repeats_dealt_anew(spark, odd, monkeypatch):
     from tessera.llm.common import documents  # noqa: F401
 
