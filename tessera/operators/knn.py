@@ -2,7 +2,8 @@
 
 The exact graph compares blocks by matrix products: one block of reference points at a time is broadcast (block_rows x
 dimensions numbers, a fixed bound), every task keeps the best k of each of its points, and the lists of the blocks are
-merged by a window over at most k rows a block. For more points than that pays for, lsh_knn takes candidates from
+merged by a window over at most k rows a block. All points that rounding or ties could put among the k are ranked by
+exact distance and id; of equal vectors of a block only the least ids can be among them. For more points than that pays for, lsh_knn takes candidates from
 random projections.
 """
 
@@ -18,7 +19,8 @@ from tessera.functions import distance as D
 from tessera.schema import require_columns
 
 BLOCK_ROWS = 16_384
-MARGIN = 8
+#: Numbers of a piece in which candidates are ranked: 32 MB.
+PIECE = 1 << 22
 
 
 def _matrix(column) -> np.ndarray:
@@ -29,23 +31,55 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(n, -1) if n else np.zeros((0, 0))
 
 
-def _best(x, ids, y, own, k, metric, p, include_self, allowed=None):
-    """(row, id, distance) of the k nearest by (distance, id); candidates come from the block product with a margin and
-    are ranked by exactly computed distances."""
+def _copies(y: np.ndarray) -> np.ndarray:
+    """A number for each distinct vector."""
+    rows = np.ascontiguousarray(y).view(np.dtype((np.void, y.itemsize * y.shape[1]))).ravel()
+    return np.unique(rows, return_inverse=True)[1].ravel()
+
+
+def _least_ids(vector: np.ndarray, own: np.ndarray, n: int) -> np.ndarray:
+    """The places of the n least ids of each vector: copies are equally far from any point, so others never count."""
+    order = np.lexsort((own, vector))
+    v, i = vector[order], own[order]
+    new = np.append(True, v[1:] != v[:-1])[: len(v)]
+    step = np.cumsum(new | np.append(True, i[1:] != i[:-1])[: len(v)])
+    return np.sort(order[step - np.repeat(step[new], np.diff(np.append(np.flatnonzero(new), len(v)))) < n])
+
+
+def _candidates(d: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, metric: str, p: float) -> np.ndarray:
+    """True for the points that can be among the k nearest by exact distance: d, block distances, may be off by the
+    rounding of the block and of the exact distance."""
+    share = np.finfo(float).eps * (4 * x.shape[1] + 32)
+    with np.errstate(invalid="ignore", over="ignore"):
+        if metric == "euclidean":
+            d = d * d
+            slack = share * ((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :])
+        else:
+            slack = share * (1.0 if metric == "cosine" else max(1.0, 1 / p) * d)
+        last = np.partition(d + slack, k - 1, axis=1)[:, k - 1 : k] if k < d.shape[1] else np.full((len(d), 1), np.inf)
+        last[np.isnan(last)] = np.inf
+        return (d - slack <= last) & (d < np.inf)
+
+
+def _best(x, ids, y, own, k, metric, p, include_self):
+    """(row, id, distance) of the k nearest by (distance, id); the block product finds all that can be among them, and
+    exactly computed distances rank these."""
     d = D.block(x, y, metric, p)
-    if allowed is not None:
-        d[~allowed] = np.inf
     if not include_self:
         d[ids[:, None] == own[None, :]] = np.inf
-    take = min(len(own), k + MARGIN)
-    near = np.argpartition(d, take - 1, axis=1)[:, :take] if take < len(own) else np.tile(np.arange(len(own)), (len(x), 1))
-    kept = np.take_along_axis(d, near, 1) < np.inf
-    dist = np.where(kept, D.exact(x[:, None, :], y[near], metric, p), np.inf)
-    order = np.lexsort((own[near], dist), axis=1)[:, :k]
-    rows = np.repeat(np.arange(len(x)), order.shape[1])
-    near, dist = np.take_along_axis(near, order, 1).ravel(), np.take_along_axis(dist, order, 1).ravel()
-    ok = dist < np.inf
-    return rows[ok], own[near[ok]], dist[ok]
+    found = _candidates(d, x, y, k, metric, p)
+    upto = np.append(0, np.cumsum(found.sum(1)))
+    out, a = [], 0
+    while a < len(x):
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] + PIECE // x.shape[1], "right")) - 1)
+        rows, near = np.nonzero(found[a:b])
+        dist = D.exact(x[a + rows], y[near], metric, p)
+        order = np.lexsort((own[near], dist, rows))
+        place = np.arange(len(rows)) - (upto[a:b] - upto[a])[rows[order]]
+        order = order[(place < k) & (dist[order] < np.inf)]
+        out.append((a + rows[order], own[near[order]], dist[order]))
+        a = b
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), own[:0], np.zeros(0))
 
 
 def knn(points: DataFrame, k: int, metric: str = "euclidean", p: float = 2.0, include_self: bool = False, n_splits: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -67,20 +101,26 @@ def knn(points: DataFrame, k: int, metric: str = "euclidean", p: float = 2.0, in
         if y is None:
             continue
 
-        def run(batches, own=own, y=y, own_mask=own_mask):
+        vector = _copies(y)
+
+        def run(batches, own=own, y=y, own_mask=own_mask, vector=vector):
+            chosen = []
+            for s in range(n_splits or 1):
+                theirs = np.flatnonzero((own_mask >> s) & 1 == 1) if n_splits else np.arange(len(own))
+                chosen.append(theirs[_least_ids(vector[theirs], own[theirs], k + 1)])
             for batch in batches:
                 for a in range(0, batch.num_rows, 1024):
                     part = batch.slice(a, 1024)
                     ids, x = np.asarray(part.column(0), np.int64), _matrix(part.column(1))
-                    for s in range(n_splits or 1):
+                    for s, theirs in enumerate(chosen):
                         if n_splits:
-                            mine, theirs = (np.asarray(part.column(2), np.int64) >> s) & 1 == 1, (own_mask >> s) & 1 == 1
-                            if not mine.any() or not theirs.any():
+                            mine = (np.asarray(part.column(2), np.int64) >> s) & 1 == 1
+                            if not mine.any() or not len(theirs):
                                 continue
                             r, dst, d = _best(x[mine], ids[mine], y[theirs], own[theirs], k, metric, p, include_self)
                             src = ids[mine][r]
                         else:
-                            r, dst, d = _best(x, ids, y, own, k, metric, p, include_self)
+                            r, dst, d = _best(x, ids, y[theirs], own[theirs], k, metric, p, include_self)
                             src = ids[r]
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(src), s, np.int32)), pa.array(src), pa.array(dst), pa.array(d)], ["split_id", "src", "dst", "distance"])
 

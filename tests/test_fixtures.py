@@ -230,6 +230,20 @@ def test_knn_blocks_agree_with_theta_join(spark):
         assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty(), metric
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "chebyshev", "hamming", "cosine"])
+@pytest.mark.parametrize("include_self", [False, True])
+def test_knn_ranks_ties_by_id(spark, metric, include_self):
+    """Far more points at the k-th place than k: copies, and for all but cosine distances of small whole numbers too."""
+    rng = np.random.default_rng(3)
+    few = rng.normal(size=(3, 4)) if metric == "cosine" else rng.integers(0, 3, (40, 4)).astype(float)
+    rows = [(int(i), few[j].tolist()) for i, j in zip(rng.permutation(160) * 7, rng.integers(0, len(few), 160), strict=True)]
+    pts = frame(spark, rows, "id bigint, features array<double>")
+    want = sorted(map(tuple, N.knn_by_sql(pts, 5, metric, include_self).select("src", "dst", "rank").collect()))
+    for block_rows in (64, 16_384):
+        got = N.knn(pts, 5, metric, include_self=include_self, block_rows=block_rows).select("src", "dst", "rank")
+        assert sorted(map(tuple, got.collect())) == want
+
+
 def test_empty_tables(spark):
     none = frame(spark, [], EDGES)
     assert E.transition(none).isEmpty() and E.fuzzy_union(none).isEmpty()
