@@ -611,7 +611,7 @@ def louvain(spark, d):
 
 @query()
 def louvain_distributed(spark, d):
-    return CM.louvain_distributed(E.symmetrise(weighted_edges(spark, d)), max_moves=4, max_levels=3)
+    return CM.louvain_distributed(E.symmetrise(weighted_edges(spark, d)))
 
 
 def _multi(spark, d, method: str) -> MR.MultiresolutionClustering:
@@ -933,7 +933,7 @@ def svd(spark, d):
 @query()
 def fast_ica(spark, d):
     p = points(spark, d)
-    return DE.fast_ica(p, 3, max_iter=5).transform(p)
+    return DE.fast_ica(p, 3).transform(p)
 
 
 @query()
@@ -943,12 +943,12 @@ def kmeans(spark, d):
 
 @query()
 def umap_layout(spark, d):
-    return DE.umap_layout(E.symmetrise(weighted_edges(spark, d)), epochs=30)
+    return DE.umap_layout(E.symmetrise(weighted_edges(spark, d)))
 
 
 @query()
 def tsne_layout(spark, d):
-    return DE.tsne(points(spark, d), epochs=60)
+    return DE.tsne(points(spark, d))
 
 
 # --- composites -------------------------------------------------------------------------------------------------------------

@@ -1,6 +1,7 @@
 """Catalogue queries against their SQL in DuckDB, on the smallest tables."""
 
 import glob
+import inspect
 import math
 import os
 
@@ -9,6 +10,7 @@ import pytest
 from tessera.plans.catalogue import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"
+ROUNDS = ("epochs", "max_iter", "tolerance", "max_moves", "max_levels")
 CHOSEN = (
     "knn_graph knn_graph_self knn_distances_cosine mutual_knn shuffle_splits split_fit_predict consensus_knn consensus_distances consensus_mutual potential_occurrence "
     "transition_max transition_min fuzzy_union matrix_stats connectivity_probability umap_connectivities agreement_lineitem ami_codes pairwise_ari cluster_match_f1 projection_multires "
@@ -47,3 +49,23 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
+
+
+@pytest.mark.parametrize(("name", "module", "operator"), [("tsne_layout", "DE", "tsne"), ("umap_layout", "DE", "umap_layout"), ("fast_ica", "DE", "fast_ica"), ("louvain_distributed", "CM", "louvain_distributed")])
+def test_query_runs_the_rounds_of_its_operator(spark, monkeypatch, name, module, operator):
+    from tessera.plans import catalogue
+
+    class Called(Exception):
+        pass
+
+    own = getattr(getattr(catalogue, module), operator)
+
+    def record(*args, **kwargs):
+        bound = inspect.signature(own).bind(*args, **kwargs)
+        bound.apply_defaults()
+        raise Called({k: bound.arguments[k] for k in bound.arguments if k in ROUNDS})
+
+    monkeypatch.setattr(getattr(catalogue, module), operator, record)
+    with pytest.raises(Called) as called:
+        QUERIES[name](spark, DATA)
+    assert called.value.args[0] == {k: v.default for k, v in inspect.signature(own).parameters.items() if k in ROUNDS}
