@@ -6,7 +6,7 @@ A batch is scored as a sparse product: the bucket of each n-gram picks the matri
 summed per document.
 
 Fitted on a bounded sample: at most about per_lang documents a language, chosen by a hash of the id, and the max_langs
-most frequent languages. Defined results: null text, or one without a letter, is `und` with score 0; with nothing to
+most frequent languages. The prior is the share of all rows, not of the sample. Defined results: null text, or one without a letter, is `und` with score 0; with nothing to
 learn from, everything is `und`; repeated rows are scored each; ties go to the language that sorts first. An empty
 table gives no rows. Extra columns are ignored.
 """
@@ -61,15 +61,15 @@ class NgramModel:
         self.langs, self.prior, self.table, self.bits = langs, prior, table, bits
 
     @classmethod
-    def fit(cls, texts: pa.Table, bits: int, smoothing: float) -> NgramModel:
+    def fit(cls, texts: pa.Table, of_lang: dict[str, int], bits: int, smoothing: float) -> NgramModel:
+        """of_lang has the number of all rows of each language that may be learnt from; the prior is their share."""
         langs = sorted({x for x in texts.column("lang").to_pylist() if x is not None}) if texts.num_rows else []
         number = {x: i for i, x in enumerate(langs)}
         counts = np.zeros((len(ORDERS), len(langs), 1 << bits))
-        rows = np.zeros(len(langs))
+        rows = np.array([of_lang[x] for x in langs], float)
         for batch in texts.to_batches():
             for part, buf, off in K.chunks(batch, "text"):
                 lang = np.array([number[x] for x in part.column(part.schema.get_field_index("lang")).to_pylist()])
-                rows += np.bincount(lang, minlength=len(langs))
                 chars, ends = lower_chars(buf, off)
                 for i, n in enumerate(ORDERS):
                     bucket, at = gram_buckets(chars, ends, n, bits)
@@ -92,18 +92,20 @@ class NgramModel:
         return p / p.sum(axis=1, keepdims=True)
 
 
-def sample(docs: DataFrame, allowed: Column, per_lang: int, max_langs: int, seed: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+def sample(docs: DataFrame, allowed: Column, per_lang: int, max_langs: int, seed: int, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, dict[str, int]]:
+    """The chosen rows, and the number of all rows of each language."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.coalesce(allowed, F.lit(False)))
     counts = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
     if not counts:
-        return rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).limit(0)
+        return rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).limit(0), {}
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_lang / r["n"]))])
     chosen = rows.where(uniform(F.col(id_col), F.lit(seed)) < F.coalesce(F.element_at(share, F.col(lang_col)), F.lit(0.0)))
-    return chosen.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    return chosen.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), {r["lang"]: r["n"] for r in counts}
 
 
 def fit(docs: DataFrame, allowed: Column, per_lang: int = 2000, max_langs: int = 256, bits: int = 15, smoothing: float = 0.5, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> NgramModel:
-    return fit_once(sample(docs, allowed, per_lang, max_langs, seed, id_col, text_col, lang_col), lambda t: NgramModel.fit(t, bits, smoothing))
+    chosen, of_lang = sample(docs, allowed, per_lang, max_langs, seed, id_col, text_col, lang_col)
+    return fit_once(chosen, lambda t: NgramModel.fit(t, of_lang, bits, smoothing))
 
 
 def predict(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", text_col: str = "text", also: dict[str, Column] | None = None) -> DataFrame:

@@ -377,6 +377,15 @@ def test_langid(odd, odd_rows, none):
     assert all(g["lang_pred"] == "und" for g in rows_of(langid.predict(odd, langid.fit(none, F.lit(True)))))
 
 
+def test_langid_prior_counts_all_rows(spark):
+    import numpy as np
+
+    rows = [(i, f"some text {i}", "en" if i % 4 else "de") for i in range(400)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True), per_lang=50)
+    assert model.langs == ["de", "en"]
+    assert np.exp(model.prior) == pytest.approx([101 / 402, 301 / 402])
+
+
 @pytest.mark.parametrize(("module", "label"), [(toxicity, "toxic"), (quality, "quality")])
 def test_classifiers(odd, odd_rows, none, some_labels, module, label):
     allowed = F.coalesce(id_bucket("doc_id", 5) != 0, F.lit(False))
