@@ -75,5 +75,10 @@ def uniform(*columns: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns), 11).cast("double") / float(1 << 53)
 
 
+def text_bytes(docs: DataFrame, text_col: str) -> int:
+    """Bytes of all texts, from which the number of buckets of bounded size follows."""
+    return docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

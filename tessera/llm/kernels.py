@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 U64 = np.uint64
 #: Word separators: space and \x09-\x0D.
 IS_SPACE = np.zeros(256, bool)

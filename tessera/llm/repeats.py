@@ -8,11 +8,12 @@ at equal places, wherever they stand. Consecutive starts with the same anchor ma
 1. One pass finds which anchors occur twice or more. A Bloom filter of them, bounded in size, goes out.
 2. A second pass cuts the segments of such anchors. Equal segments of a batch are combined: the first is passed on, the
    others are covered already, so a passage in a third of all documents costs each batch one row.
-3. Segments meet by anchor. There the suffix sort runs: suffixes are merge-sorted by their first `length` bytes; two are
+3. Segments meet by anchor, in parts whose number follows the number of segments; a part is walked in slices of a few
+   thousand segments, keys whole, so a task's memory is the same at any corpus size. There the suffix sort runs: suffixes are merge-sorted by their first `length` bytes; two are
    compared by a binary search for their common extension over prefix polynomial hashes, so a comparison takes the
    logarithm of `length`. Neighbours that are equal by hash are verified by their bytes; of equal ones the earliest
    stays. An anchor with more than HOT segments (the edge of a passage that stands in many contexts) is dealt out anew,
-   string by string, so no task gets them all.
+   string by string; a string that still has more than HOT rows is combined in salted groups, level by level.
 4. The covered spans of a document are united and cut out of its text.
 
 Defined results: null text counts as empty; rows that repeat an id are documents in the order of a hash of their text,
@@ -31,10 +32,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bloom as B
 from tessera.llm import kernels as K
-from tessera.llm.common import discard, materialise, partitions
+from tessera.llm.common import discard, materialise, partitions, text_bytes
 
 GRAM = 32
 HOT = 4096
+#: Segments of a part, which one task holds at once (about 230 bytes each), and of a slice, which is sorted at once.
+PART_SEGMENTS, SLICE = 1 << 15, 1 << 12
+#: Anchors that a task holds before it passes them on, and that one part of their hashes is meant to have.
+HELD_ANCHORS = 1 << 21
 #: Hot anchors are broadcast up to this many (512 kB), else joined by a shuffle.
 MAX_BROADCAST_KEYS = 1 << 16
 ZSTD = {"compression": "zstd"}
@@ -214,29 +219,31 @@ def _pair_rank(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _anchors(docs: DataFrame, length: int, bits: int) -> DataFrame:
-    """Distinct anchors of each task by the leading bits of their hash, those that the task has seen twice apart."""
+    """Distinct anchors by the leading bits of their hash, those that a task has seen twice apart. A task passes on what
+    it holds whenever that is HELD_ANCHORS or more."""
 
-    def run(batches):
-        held, twice = [], []
-
-        def merge() -> None:
-            v, n = np.unique(np.concatenate(held), return_counts=True)
-            twice.append(v[n > 1])
-            held[:] = [v]
+    def passed_on(held: list[np.ndarray]) -> pa.RecordBatch:
+        v, n = np.unique(np.concatenate(held), return_counts=True)
+        parts, many_of, hashes = [], [], []
+        for many, values in ((False, v), (True, v[n > 1])):
+            part = (values >> np.uint64(64 - bits)).astype(np.int64)
+            cut = np.searchsorted(part, np.arange((1 << bits) + 1))
+            some = np.flatnonzero(np.diff(cut))
+            parts.append(some.astype(np.int32))
+            many_of.append(np.full(len(some), many))
+            hashes += [values[cut[i] : cut[i + 1]].tobytes() for i in some]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(np.concatenate(many_of)), pa.array(hashes, pa.binary())], ["part", "many", "hashes"])
 
+    def run(batches):
+        held: list[np.ndarray] = []
         for batch in batches:
             for _, buf, off in K.chunks(batch, "text"):
                 held.append(segments(K.prefix_hash(buf), off, length)[3])
-                if sum(map(len, held)) > 4_000_000:
-                    merge()
-        if not held:
-            return
-        merge()
-        for many, values in ((False, held[0]), (True, np.unique(np.concatenate(twice)))):
-            part = (values >> np.uint64(64 - bits)).astype(np.int64)
-            cut = np.searchsorted(part, np.arange((1 << bits) + 1))
-            some = np.flatnonzero(np.diff(cut))
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), many)), pa.array([values[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary())], ["part", "many", "hashes"])
+                if sum(map(len, held)) >= HELD_ANCHORS:
+                    yield passed_on(held)
+                    held = []
+        if held:
+            yield passed_on(held)
 
     return docs.select("text").mapInArrow(run, "part int, many boolean, hashes binary")
 
@@ -326,12 +333,74 @@ def _deal_anew(hot: DataFrame, length: int) -> DataFrame:
     return hot.select(*_NAMES).mapInArrow(run, SEGMENTS)
 
 
-def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
+def _combined_again(dealt: DataFrame, length: int) -> DataFrame:
+    """Strings that still have more than HOT rows, combined in salted groups of about HOT rows until none has: of each
+    group the earliest goes on, the others are covered. A level leaves one row in HOT."""
+    done, most = None, max(HOT, 8)
+    while True:
+        counts = dealt.where("kind = 0").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most)
+        counts = materialise(counts, "still-hot")
+        if counts.isEmpty():
+            return dealt if done is None else dealt.unionByName(done)
+        salted = dealt.where("kind = 0").join(counts, "key")
+        salt = F.pmod(F.xxhash64("id", "tie", "start", F.lit(3)), F.ceil(F.col("n") / most))
+        salted = salted.withColumn("salt", salt).groupBy("key", "salt")
+
+        def run(table: pa.Table) -> pa.Table:
+            key, id_, tie, start, stop, anchor = _arrays(table)
+            rows = _rows(np.frombuffer(b"".join(table.column("content").to_pylist()), np.uint8), np.arange(len(key)) * length, length)
+            return pa.Table.from_batches(list(_split(key, id_, tie, start, stop, anchor, rows, length)))
+
+        fresh = materialise(salted.applyInArrow(run, SEGMENTS), "combined-again", options=ZSTD)
+        cold = dealt.where("kind = 0").join(counts, "key", "left_anti").select(*_NAMES)
+        known = dealt.where("kind = 1")
+        done = known if done is None else done.unionByName(known)
+        dealt = cold.unionByName(fresh)
+
+
+def slices(key: np.ndarray, size: int = SLICE) -> list[np.ndarray]:
+    """The rows in slices of about `size`, all rows of a key in one slice; keys that stand alone are left out."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    edge = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+    count = np.diff(np.append(edge, len(k)))
+    rows = order[np.repeat(count > 1, count)]
+    count = count[count > 1]
+    cuts, at, used = [], 0, 0
+    for n in count.tolist():
+        if used and used + n > size:
+            cuts.append(at)
+            used = 0
+        at, used = at + n, used + n
+    return [x for x in np.split(rows, cuts) if len(x)]
+
+
+def meet_part(key, id_, tie, start, stop, anchor, content: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, from, to): what earlier strings cover in the segments of a part."""
+    most, found = 2 * length - GRAM, []
+    for rows in slices(key):
+        # equal segments of different tasks: all but the earliest are covered, and the suffix sort sees each once
+        size = (stop - start)[rows]
+        data = _rows(np.frombuffer(b"".join(content[i] for i in rows), np.uint8), np.cumsum(size) - size, most)
+        data[np.arange(most) >= size[:, None]] = 0
+        first, later = combine(key[rows], anchor[rows].astype(np.int64) << 32 | size, data, id_[rows], tie[rows], start[rows], stop[rows])
+        own, rest = rows[first], rows[later]
+        del data
+        seg, a, b = covered(key[own], id_[own], tie[own], start[own], stop[own], anchor[own].astype(np.int64), [content[i] for i in own], length)
+        found += [(own[seg], a, b), (rest, start[rest], stop[rest])]
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def repeated_spans(docs: DataFrame, length: int = 100, part_segments: int = PART_SEGMENTS) -> DataFrame:
     """Covered spans of docs(id, tie, text): id, tie, start, stop in bytes; spans of a document may overlap."""
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
     spark = docs.sparkSession
-    bits = B.leading_bits(partitions(spark))
+    # about one anchor in half a string's room
+    anchors = 2 * text_bytes(docs, "text") // (length - GRAM)
+    bits = max(B.leading_bits(partitions(spark)), (anchors // HELD_ANCHORS).bit_length())
     repeated = materialise(_repeated(_anchors(docs, length, bits)), "anchors")
     bloom = spark.sparkContext.broadcast(B.build(repeated, bits))
     cut = materialise(_cut_segments(docs, bloom, length), "segments", options=ZSTD)
@@ -340,29 +409,21 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     hot = materialise(hot, "hot")
     if hot.count() <= MAX_BROADCAST_KEYS:
         hot = F.broadcast(hot)
-    anew = materialise(_deal_anew(segs.join(hot, "key", "left_semi"), length), "dealt-anew", options=ZSTD)
+    dealt = materialise(_deal_anew(segs.join(hot, "key", "left_semi"), length), "dealt-anew", options=ZSTD)
+    anew = _combined_again(dealt, length)
     meet = segs.join(hot, "key", "left_anti").select(*_NAMES[1:]).unionByName(anew.where("kind = 0").select(*_NAMES[1:]))
-    meet = meet.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(4 << bits)).cast("int"))
-
-    most = 2 * length - GRAM
+    parts = max(partitions(spark), -(-(segs.count() + anew.where("kind = 0").count()) // part_segments))
+    meet = meet.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
 
     def run(table: pa.Table) -> pa.Table:
         key, id_, tie, start, stop, anchor = _arrays(table)
-        content, size = table.column("content").to_pylist(), stop - start
-        # equal segments of different tasks: all but the earliest are covered, and the suffix sort sees each once
-        origin = np.cumsum(size) - size
-        rows = _rows(np.frombuffer(b"".join(content), np.uint8), origin, most)
-        rows[np.arange(most) >= size[:, None]] = 0
-        first, later = combine(key, anchor.astype(np.int64) << 32 | size, rows, id_, tie, start, stop)
-        own, rest = np.flatnonzero(first), np.flatnonzero(later)
-        seg, a, b = covered(key[own], id_[own], tie[own], start[own], stop[own], anchor[own].astype(np.int64), [content[i] for i in own], length)
-        seg, a, b = np.concatenate([own[seg], rest]), np.concatenate([a, start[rest]]), np.concatenate([b, stop[rest]])
+        seg, a, b = meet_part(key, id_, tie, start, stop, anchor, table.column("content").to_pylist(), length)
         return pa.table({"id": pa.array(id_[seg]), "tie": pa.array(tie[seg]), "start": pa.array(a, pa.int64()), "stop": pa.array(b, pa.int64())})
 
     spans = meet.groupBy("part").applyInArrow(run, "id long, tie long, start long, stop long")
     known = cut.where("kind = 1").unionByName(anew.where("kind = 1")).select("id", "tie", "start", "stop")
     out = materialise(spans.unionByName(known), "spans", options=ZSTD)
-    for done in (repeated, cut, anew):
+    for done in (repeated, cut, dealt):
         discard(done)
     return out
 
@@ -373,8 +434,7 @@ def strip_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", te
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
     spans = repeated_spans(rows, length)
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets = max(partitions(spark), -(-2 * size // BUCKET_BYTES)) if size < 1 << 60 else partitions(spark)
+    buckets = max(partitions(spark), -(-text_bytes(rows, "text") // BUCKET_BYTES))
     bucket = F.pmod(F.xxhash64("id", "tie"), F.lit(buckets)).cast("int").alias("bucket")
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
