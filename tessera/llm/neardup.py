@@ -1,18 +1,19 @@
 """Near-duplicate detection with a MinHash LSH forest.
 
 A text's set holds its distinct shingles of `width` words, hashed to 64 bits; texts with equal sets form one class and
-take part once. A class has TREES sequences of DEPTH MinHash values. In the order sorted by one sequence, texts with a
-common prefix are neighbours; each tree links a class with the neighbours whose prefix agrees in BASE values or more
-and whose signatures (a byte of each value) estimate a similarity near the threshold. A region of one prefix with more
-than REGION classes goes deeper: it is split by the next value, and each part leaves its head behind in the region, so
-parts stay linked as the forest's inner nodes link them; beyond the last value parts are dealt by a hash. No region is
-capped and no class is dropped.
-
-The links only make candidate components. Within each, full sets decide: sets are compared by counting common shingles
-over an inverted index, one against all, and pairs already connected are skipped. The work ends when every set outside
-the largest group has been compared with all. A component whose sets don't fit one task is cut into chunks; chunks are
-solved alone, then the sets outside the largest groups (and one of each largest) meet all chunks in blocks, so every
-pair that could join two groups is compared.
+take part once. A class has TREES sequences of MinHash values; the sequence of a tree goes on into the next tree's.
+
+1. Every tree is a sorted order: (tree, sequence, node) is range-partitioned and sorted, so classes with a long common
+   prefix are neighbours, and no partition grows with a hot prefix. A region is a run of the order with one prefix. Its
+   depth adapts both ways: it starts at BASE values; a run of more than `region` classes is split by the next value, and
+   the heads of its parts are compared with their neighbours at the shallower depth; a class alone at BASE values meets
+   its neighbours on either side down to UP values; where LAST values are equal, windows of neighbours overlap by half.
+   No region is capped and no class is dropped.
+2. Within a region, signatures (a byte of each value) estimate similarities. Pairs near the threshold are candidates.
+3. Links are confirmed on full sets, never by a task that holds a group. First each class is compared with two of its
+   candidates, the nearest and the most central of its regions, as a join of pairs with sets. Then the classes of a
+   region that have other candidates, not joined with them yet, bring their sets to the region, which is bounded, and
+   the exact intersections of all of them link what is left. A candidate is passed over only where its ends are joined.
 
 Defined results: null text counts as empty; a text without words has an empty set and is linked with nothing; rows that
 repeat an id are documents of their own, the id standing for all of them; a null id can't name a component that has
@@ -30,16 +31,20 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bloom
 from tessera.llm import kernels as K
-from tessera.llm.common import discard, materialise, partitions
+from tessera.llm.common import materialise, partitions
 from tessera.llm.components import components
 
-TREES, DEPTH, BASE = 16, 8, 4
+TREES, DEPTH = 16, 8
 VALUES = TREES * DEPTH
-REGION = 512
+#: Values of a prefix: where a region starts, where a lone class stops looking, and the most that are compared.
+BASE, UP, LAST = 4, 3, 12
+REGION = 256
 #: Estimates below the threshold by more than this are no candidates: over four standard deviations at 0.8 and above.
 SLACK = 0.15
-#: Shingles that a task holds at once: 48 MB.
-TASK_SHINGLES = 6_000_000
+#: Rows that a task holds at once: places in an order (33 bytes), and members of regions (about 300 bytes).
+ORDER_ROWS, MEMBER_ROWS = 500_000, 20_000
+#: Shingles that a task is meant to hold at once, 8 bytes each; one region may have more.
+TASK_SHINGLES = 1_000_000
 _rng = np.random.Generator(np.random.Philox(77))
 FACTOR = _rng.integers(1 << 31, size=VALUES, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 FLIP = _rng.integers(1 << 32, size=VALUES, dtype=np.int64).astype(np.uint32)
@@ -90,66 +95,115 @@ def set_keys(value: np.ndarray, at: np.ndarray) -> list[bytes]:
 
 
 def _sign(docs: DataFrame, width: int) -> DataFrame:
-    """id, n, set_key, keys (the first BASE values of each tree as one number), sig (a byte of each value)."""
+    """id, text_hash, n, set_key, values (two bytes of each MinHash value, tree by tree)."""
 
     def run(batches):
         for batch in batches:
             for part, buf, off in K.chunks(batch, "text"):
                 value, at = shingle_sets(buf, off, width)
-                mins = signatures(value, at)
-                tree = mins.reshape(-1, TREES, DEPTH).astype(np.uint64)
-                key = np.zeros(tree.shape[:2], np.uint64)
-                for k in range(BASE):
-                    key = K.mix(key * np.uint64(0x9FB21C651E98DF25) + tree[:, :, k] + np.uint64(1))
-                raw_keys, raw_sig = key.tobytes(), (mins >> np.uint32(3)).astype(np.uint8).tobytes()
+                raw = (signatures(value, at) >> np.uint32(3)).astype(">u2").tobytes()
                 n = len(at) - 1
                 yield pa.RecordBatch.from_arrays([
-                    part.column(part.schema.get_field_index("id")), pa.array(np.diff(at), pa.int64()), pa.array(set_keys(value, at), pa.binary()),
-                    pa.array([raw_keys[i * 8 * TREES : (i + 1) * 8 * TREES] for i in range(n)], pa.binary()), pa.array([raw_sig[i * VALUES : (i + 1) * VALUES] for i in range(n)], pa.binary()),
-                ], ["id", "n", "set_key", "keys", "sig"])
+                    part.column(0), part.column(1), pa.array(np.diff(at), pa.int64()), pa.array(set_keys(value, at), pa.binary()),
+                    pa.array([raw[i * 2 * VALUES : (i + 1) * 2 * VALUES] for i in range(n)], pa.binary()),
+                ], ["id", "text_hash", "n", "set_key", "values"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, set_key binary, keys binary, sig binary")
+    return docs.select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text").mapInArrow(run, "id long, text_hash long, n long, set_key binary, values binary")
 
 
 # --- candidates -----------------------------------------------------------------------------------------------------
 
 
-def _entries(classes: DataFrame) -> DataFrame:
-    """tree, region key and node: a row for each class and tree."""
+def _values(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), ">u2").reshape(-1, TREES, DEPTH)
+
+
+def _places(classes: DataFrame) -> DataFrame:
+    """tree, a, b, c, node: the place of each class in each order, four values of the sequence in a number."""
 
     def run(batches):
         for batch in batches:
             node = np.asarray(batch.column(0), np.int64)
-            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TREES, dtype=np.int8), len(node))), pa.array(keys), pa.array(np.repeat(node, TREES))], ["tree", "key", "node"])
+            v = _values(batch.column(1))
+            pack = lambda x: pa.array(np.ascontiguousarray(x).view(">i8").ravel().astype(np.int64))
+            arrays = [pack(v[:, :, :4]), pack(v[:, :, 4:]), pack(np.roll(v, -1, axis=1)[:, :, :4])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TREES, dtype=np.int8), len(node))), *arrays, pa.array(np.repeat(node, TREES))], ["tree", "a", "b", "c", "node"])
 
-    return classes.select("node", "keys").mapInArrow(run, "tree byte, key long, node long")
+    return classes.select("node", "values").mapInArrow(run, "tree byte, a long, b long, c long, node long")
 
 
-def _regions(classes: DataFrame, region: int) -> DataFrame:
-    """tree, key, node, n, sig of all regions with two classes or more, none with more than `region` or 256."""
-    sizes = lambda rows: rows.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("members"))
-    entries = materialise(_entries(classes), "entries")
-    sized = entries.join(sizes(entries).where("members > 1"), ["tree", "key"])
-    rows = materialise(sized.join(classes.select("node", "n", "sig"), "node"), "regions")
-    discard(entries)
-    out = rows.where(F.col("members") <= region).drop("members")
-    big, level = rows.where(F.col("members") > region).drop("members"), BASE
-    while not big.isEmpty():
-        if level < DEPTH:
-            step = F.hex(F.substring("sig", F.col("tree").cast("int") * DEPTH + level + 1, 1))
-        else:
-            step = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(256)).cast("string")
-        parts = materialise(big.withColumn("part", F.xxhash64("key", F.lit(level), step)), "parts")
-        heads = parts.groupBy("tree", "key", "part").agg(F.min("node").alias("node")).select("tree", "key", "node")
-        out = out.unionByName(parts.join(heads, ["tree", "key", "node"], "left_semi").select(out.columns))
-        deeper = parts.drop("key").withColumnRenamed("part", "key")
-        deeper = materialise(deeper.join(sizes(deeper).where("members > 1"), ["tree", "key"]), "deeper")
-        out = out.unionByName(deeper.where(F.col("members") <= region).select(out.columns))
-        big, level = deeper.where(F.col("members") > region).drop("members"), level + 1
+def common_prefix(tree: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+    """For each place, the number of values it shares with the place before; -1 at the start of a tree."""
+    out = np.full(len(tree), -1, np.int64)
+    if len(tree) > 1:
+        v = np.concatenate([x.astype(">i8").view(">u2").reshape(-1, 4) for x in columns], axis=1)
+        same = (v[1:] == v[:-1]).cumprod(axis=1).sum(axis=1)
+        out[1:] = np.where(tree[1:] == tree[:-1], same, -1)
+    return out
+
+
+def forest_regions(lcp: np.ndarray, region: int) -> list[np.ndarray]:
+    """The regions of a sorted order as arrays of places, none larger than `region` (or 2)."""
+    n, out = len(lcp), []
+    if not n:
+        return out
+    region = max(region, 2)
+
+    def windows(places: np.ndarray) -> None:
+        step = max(region // 2, 1)
+        for k in range(0, max(len(places) - step, 1), step):
+            if len(places[k : k + region]) > 1:
+                out.append(places[k : k + region])
+
+    edge = np.append(np.flatnonzero(lcp < BASE), n)
+    size = np.diff(edge)
+    lone = edge[:-1][size == 1]
+    after = np.append(lcp, -1)
+    longest = np.maximum(after[lone], after[lone + 1])
+    left = lone[(after[lone] >= UP) & (after[lone] == longest)] - 1
+    right = lone[(after[lone + 1] >= UP) & (after[lone + 1] == longest)]
+    out += list(np.stack([pairs := np.unique(np.concatenate([left, right])), pairs + 1], axis=1))
+    fits = (size > 1) & (size <= region)
+    out += [np.arange(x, x + m) for x, m in zip(edge[:-1][fits].tolist(), size[fits].tolist(), strict=True)]
+    deeper = [(x, x + m, BASE + 1) for x, m in zip(edge[:-1][size > region].tolist(), size[size > region].tolist(), strict=True)]
+    while deeper:
+        first, last, depth = deeper.pop()
+        if depth > LAST:
+            windows(np.arange(first, last))
+            continue
+        heads = first + np.flatnonzero(np.append(True, lcp[first + 1 : last] < depth))
+        ends = np.append(heads[1:], last)
+        windows(heads)
+        for x, y in zip(heads.tolist(), ends.tolist(), strict=True):
+            if y - x > region:
+                deeper.append((x, y, depth + 1))
+            elif y - x > 1:
+                out.append(np.arange(x, y))
     return out
 
 
+def _regions(classes: DataFrame, region: int) -> DataFrame:
+    """region, node: the members of all regions of all orders."""
+    spark = classes.sparkSession
+    parts = max(partitions(spark), -(-classes.count() * TREES // ORDER_ROWS))
+    order = ["tree", "a", "b", "c", "node"]
+    places = _places(classes).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        held = [batch for batch in batches if batch.num_rows]
+        if not held:
+            return
+        tree, a, b, c, node = (np.concatenate([np.asarray(x.column(i)) for x in held]) for i in range(5))
+        found = forest_regions(common_prefix(tree, [a, b, c]), region)
+        if found:
+            number = (TaskContext.get().partitionId() << 40) + np.arange(len(found))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(number, [len(x) for x in found])), pa.array(node[np.concatenate(found)])], ["region", "node"])
+
+    return places.mapInArrow(run, "region long, node long")
+
+
 def _agree(sig: np.ndarray) -> np.ndarray:
     """Number of equal bytes for all pairs of a region's signatures."""
     m = len(sig)
@@ -159,102 +213,60 @@ def _agree(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-def _links(table: pa.Table, threshold: int) -> pa.Table:
-    """Candidate links of many regions: in each region every group of linked classes is a star around its least node."""
-    tree, key, node, n = (np.asarray(table.column(c).combine_chunks()) for c in ("tree", "key", "node", "n"))
-    order = np.lexsort((node, key, tree))
-    tree, key, node, n = tree[order], key[order], node[order], n[order]
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(-1, VALUES)[order]
-    edge = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (tree[1:] != tree[:-1])))
-    size = np.diff(np.append(edge, len(key)))
-    least = (threshold / 100 - SLACK) * VALUES
-    fits = lambda a, b: 100 * np.minimum(a, b) >= threshold * np.maximum(a, b)
-    us, vs = [], []
-    a = edge[size == 2]
-    linked = ((sig[a] == sig[a + 1]).sum(axis=1) >= least) & fits(n[a], n[a + 1])
-    us.append(node[a[linked]])
-    vs.append(node[a[linked] + 1])
-    for a, m in zip(edge[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+def _by_region(table: pa.Table, columns: tuple[str, ...]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The number columns sorted by (region, node), the order itself, and where regions begin and how many rows they have."""
+    region, *rest = (np.asarray(table.column(c).combine_chunks().fill_null(-1), np.int64) for c in ("region", *columns))
+    order = np.lexsort((rest[0], region))
+    region = region[order]
+    edge = np.flatnonzero(np.append(True, region[1:] != region[:-1]))
+    return [region, *(x[order] for x in rest)], order, edge, np.diff(np.append(edge, len(region)))
+
+
+def _near(sig: np.ndarray, n: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Agreements of all pairs of a region, and which are near enough to be candidates."""
+    agree = _agree(sig)
+    near = (agree >= (threshold / 100 - SLACK) * VALUES) & (100 * np.minimum(n[:, None], n) >= threshold * np.maximum(n[:, None], n))
+    np.fill_diagonal(near, False)
+    return agree, near
+
+
+def _choices(table: pa.Table, threshold: int) -> pa.Table:
+    """For each class of many regions its nearest and its most central candidate: u, v, w, agree, centre."""
+    (_, node, n), order, edge, size = _by_region(table, ("node", "n"))
+    sig = _signatures(table)[order]
+    out: list[tuple] = [(node[:0], node[:0], node[:0], node[:0], node[:0])]
+    for a, m in zip(edge.tolist(), size.tolist(), strict=True):
         own = slice(a, a + m)
-        near = (_agree(sig[own]) >= least) & fits(n[own][:, None], n[own][None, :])
-        label = np.arange(m)
-        while True:
-            new = np.where(near, label[None, :], m).min(axis=1)
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        far = label != np.arange(m)
-        us.append(node[own][label[far]])
-        vs.append(node[own][far])
-    return pa.table({"u": pa.array(np.concatenate(us)), "v": pa.array(np.concatenate(vs))})
+        agree, near = _near(sig[own], n[own], threshold)
+        i = np.flatnonzero(near.any(axis=1))
+        if len(i):
+            # the classes that most are near to, and nearest, come first; the scale makes regions comparable
+            centre = np.where(near, agree, 0).sum(axis=1, dtype=np.int64) * 1000 // m
+            best, middle = np.where(near, agree, 0)[i].argmax(axis=1), np.where(near, centre[None, :], -1)[i].argmax(axis=1)
+            out.append((node[own][i], node[own][best], node[own][middle], agree[i, best].astype(np.int64), centre[middle]))
+    return pa.table(dict(zip(("u", "v", "w", "agree", "centre"), map(pa.array, map(np.concatenate, zip(*out, strict=True))), strict=True)))
+
+
+def _open_members(table: pa.Table, threshold: int) -> pa.Table:
+    """region, node of the classes that have a candidate whose label differs and that is not one of their choices."""
+    (region, node, n, label, best, middle), order, edge, size = _by_region(table, ("node", "n", "label", "best", "middle"))
+    sig = _signatures(table)[order]
+    out = np.zeros(len(node), bool)
+    for a, m in zip(edge.tolist(), size.tolist(), strict=True):
+        own = slice(a, a + m)
+        if (label[own] != label[a]).any():
+            _, near = _near(sig[own], n[own], threshold)
+            known = (best[own][:, None] == node[own]) | (middle[own][:, None] == node[own])
+            near &= (label[own][:, None] != label[own]) & ~known & ~known.T
+            out[own] = near.any(axis=1)
+    return pa.table({"region": pa.array(region[out]), "node": pa.array(node[out])})
 
 
-# --- exact links ----------------------------------------------------------------------------------------------------
+def _signatures(table: pa.Table) -> np.ndarray:
+    return _values(table.column("values").combine_chunks()).reshape(-1, VALUES).astype(np.uint8)
 
 
-class Sets:
-    """Sets with an inverted index: the common shingles of one set with all others in one pass."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.size = np.array([len(s) for s in sets], np.int64)
-        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(sets)), self.size)
-        order = np.argsort(flat, kind="stable")
-        self.sorted, self.owner = flat[order], owner[order]
-
-    def linked(self, one: np.ndarray, threshold: int) -> np.ndarray:
-        """True for the sets with 100 * intersection >= threshold * union."""
-        a, b = np.searchsorted(self.sorted, one, "left"), np.searchsorted(self.sorted, one, "right")
-        count = b - a
-        at = np.repeat(a - np.cumsum(count) + count, count) + np.arange(count.sum())
-        common = np.bincount(self.owner[at], minlength=len(self.size))
-        return (100 * common >= threshold * (self.size + len(one) - common)) & (common > 0)
-
-
-def solve(sets: list[np.ndarray], threshold: int) -> np.ndarray:
-    """Labels of the connected components of the exact links: the least index of each."""
-    m = len(sets)
-    label = np.arange(m)
-    if m == 2:
-        common = len(np.intersect1d(*sets, assume_unique=True))
-        if 100 * common >= threshold * (len(sets[0]) + len(sets[1]) - common) and common:
-            label[1] = 0
-        return label
-    index = Sets(sets)
-    done = np.zeros(m, bool)
-    while True:
-        count = np.bincount(label, minlength=m)
-        top = int(count.argmax())
-        # pairs within the largest group need no look, and every other pair has an end outside it
-        rest = np.flatnonzero(~done & (label != top))
-        if not len(rest):
-            return label
-        i = int(rest[0]) if count[top] > 1 or done.any() else 0
-        done[i] = True
-        groups = np.unique(label[index.linked(sets[i], threshold)])
-        groups = np.union1d(groups, label[i])
-        label[np.isin(label, groups)] = groups[0]
-
-
-def _as_sets(column) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
-
-
-def _solve_groups(table: pa.Table, threshold: int) -> pa.Table:
-    """Solves every group of a task on its own: node, group, label (the least node), whether the label is the group's
-    largest, and the size of the set."""
-    group, node = (np.asarray(table.column(c).combine_chunks(), np.int64) for c in ("group", "node"))
-    sets = _as_sets(table.column("shingles"))
-    order = np.lexsort((node, group))
-    edge = np.flatnonzero(np.append(True, group[order][1:] != group[order][:-1]))
-    label, top = np.empty(len(node), np.int64), np.zeros(len(node), bool)
-    for a, b in zip(edge, np.append(edge[1:], len(order)), strict=True):
-        own = order[a:b]
-        part = solve([sets[i] for i in own], threshold)
-        label[own] = node[own][part]
-        top[own] = part == np.bincount(part).argmax()
-    return pa.table({"node": node, "group": group, "label": label, "top": top})
+# --- exact links ----------------------------------------------------------------------------------------------------
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -273,92 +285,106 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 keys = set_keys(value, at)
                 heads = np.frombuffer(b"".join(k[:8] for k in keys), ">u8").astype(np.uint64)
                 hit = [i for i in np.flatnonzero(bloom.maybe(heads, bits.value) & (np.diff(at) > 0)).tolist() if keys[i] not in seen and not seen.add(keys[i])]
-                raw = value.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in hit], pa.binary()), pa.array([raw[8 * at[i] : 8 * at[i + 1]] for i in hit], pa.binary())], ["set_key", "shingles"])
-
-    return docs.select("text").mapInArrow(run, "set_key binary, shingles binary").dropDuplicates(["set_key"])
+                off = np.concatenate([[0], np.cumsum([at[i + 1] - at[i] for i in hit])]).astype(np.int32)
+                flat = np.concatenate([value[at[i] : at[i + 1]] for i in hit]) if hit else value[:0]
+                sets = pa.ListArray.from_arrays(pa.array(off), pa.array(flat.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in hit], pa.binary()), sets], ["set_key", "shingles"])
+
+    return docs.select("text").mapInArrow(run, "set_key binary, shingles array<long>").dropDuplicates(["set_key"])
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs u, v with 100 * intersection >= threshold * union. sets(node, n, shingles)."""
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"set_{x}"))
+    both = pairs.join(side("u").hint("merge"), "u").join(side("v").hint("merge"), "v")
+    common = F.size(F.array_intersect("set_u", "set_v"))
+    both = both.select("u", "v", (F.col("n_u") + F.col("n_v")).alias("total"), common.cast("long").alias("common"))
+    return both.where(F.col("common") * 100 >= (F.col("total") - F.col("common")) * threshold).select("u", "v")
+
+
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, from the shingles that two or more have."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    new = np.append(True, flat[1:] != flat[:-1])
+    shared = ~new | ~np.append(new[1:], True)
+    column, owner = np.cumsum(new[shared]) - 1, owner[shared]
+    out, block = np.zeros((len(sets), len(sets)), np.float64), 4096
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, block):
+        x, y = np.searchsorted(column, [a, a + block])
+        has = np.zeros((len(sets), block), np.float32)
+        has[owner[x:y], column[x:y] - a] = 1
+        out += has @ has.T
+    return out.astype(np.int64)
+
+
+def _region_links(table: pa.Table, threshold: int) -> pa.Table:
+    """u, v: in each region the least class that a class is linked with over the region's exact links and its label."""
+    (_, node, label), order, edge, size = _by_region(table, ("node", "label"))
+    column = table.column("shingles").combine_chunks()
+    flat, off = np.asarray(column.values, np.int64), np.asarray(column.offsets, np.int64)
+    us, vs = [node[:0]], [node[:0]]
+    for a, m in zip(edge.tolist(), size.tolist(), strict=True):
+        own = slice(a, a + m)
+        sets = [flat[off[i] : off[i + 1]] for i in order[own]]
+        n, common = np.array([len(x) for x in sets]), common_counts(sets)
+        joined = (100 * common >= threshold * (n[:, None] + n - common)) & (common > 0) | (label[own][:, None] == label[own])
+        group = np.arange(m)
+        while True:
+            new = np.where(joined, group[None, :], m).min(axis=1)
+            new = new[new]
+            if (new == group).all():
+                break
+            group = new
+        far = group != np.arange(m)
+        us.append(node[own][far])
+        vs.append(node[own][group[far]])
+    return pa.table({"u": pa.array(np.concatenate(us)), "v": pa.array(np.concatenate(vs))})
 
 
-def _confirm(docs: DataFrame, classes: DataFrame, candidates: DataFrame, width: int, threshold: int, task_shingles: int) -> DataFrame:
-    """node, label of the components of exact links within candidate components(node, label)."""
-    spark = docs.sparkSession
-    heads = candidates.select(F.col("label").alias("node"), F.col("label").alias("group")).distinct()
-    members = candidates.select("node", F.col("label").alias("group")).unionByName(heads)
-    members = materialise(members.join(classes.select("node", "n", "set_key"), "node"), "members")
-    shingles = _sets_of(docs, members.select("set_key"), width)
-    sizes = members.groupBy("group").agg(F.sum("n").alias("weight"))
-    rows = members.join(sizes, "group").join(shingles, "set_key").select("group", "node", "n", "weight", "shingles")
-    rows = materialise(rows, "sets")
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    tasks = max(partitions(spark), -(-4 * total // task_shingles))
-    run = lambda table: _solve_groups(table, threshold)
-    solved = "node long, group long, label long, top boolean"
-    small = rows.where(F.col("weight") <= task_shingles)
-    small = small.withColumn("task", F.pmod(F.xxhash64("group"), F.lit(tasks)).cast("int"))
-    done = small.groupBy("task").applyInArrow(run, solved).select("node", "label")
-    big = rows.where(F.col("weight") > task_shingles)
-    if big.isEmpty():
-        return done
-
-    chunks = F.ceil(F.col("weight") * 2 / task_shingles)
-    big = big.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(5)), F.col("chunks")))
-    big = materialise(big.drop("weight"), "chunks")
-    alone = big.withColumn("comp", F.col("group")).withColumn("group", F.xxhash64("group", "chunk"))
-    local = materialise(alone.groupBy("group").applyInArrow(run, solved), "chunk-labels")
-    links = local.where("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v"))
-    hubs = local.where("top").groupBy("group").agg(F.min("node").alias("node")).select("node")
-    links = materialise(links.unionByName(_meet(big, hubs, threshold, task_shingles)), "links")
-    merged = components(links)
-    ranked = big.select("node", "group").join(merged, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    counts = ranked.groupBy("group", "label").agg(F.count(F.lit(1)).alias("n"))
-    largest = counts.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("label"))
-    rest = ranked.join(largest, ["group", "label"], "left_anti").select("node")
-    final = components(links.unionByName(_meet(big, rest, threshold, task_shingles)))
-    return done.unionByName(final)
-
-
-def _meet(big: DataFrame, pivots: DataFrame, threshold: int, task_shingles: int) -> DataFrame:
-    """Exact links u, v of the pivots with all sets of their group: each chunk meets each block of pivots."""
-    own = big.join(pivots, "node", "left_semi")
-    blocks = own.groupBy("group").agg(F.ceil(F.sum("n") * 2 / task_shingles).alias("blocks"))
-    own = own.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("node", F.lit(6)), F.col("blocks")))
-    own = own.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    sets = big.join(blocks, "group").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    key = ["group", "chunk", "block"]
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        us, vs = [], []
-        if left.num_rows and right.num_rows:
-            node = np.asarray(left.column("node").combine_chunks(), np.int64)
-            index = Sets(_as_sets(left.column("shingles")))
-            for u, one in zip(right.column("node").to_pylist(), _as_sets(right.column("shingles")), strict=True):
-                hit = node[index.linked(one, threshold)]
-                hit = hit[hit != u]
-                us.append(np.full(len(hit), u))
-                vs.append(hit)
-        return pa.table({"u": pa.array(np.concatenate(us) if us else [], pa.int64()), "v": pa.array(np.concatenate(vs) if vs else [], pa.int64())})
-
-    fresh = lambda rows: rows.select([F.col(c).alias(c) for c in (*key, "node", "shingles")]).groupBy(*key)
-    return fresh(sets).cogroup(fresh(own)).applyInArrow(run, "u long, v long")
-
-
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 80, region: int = REGION, task_shingles: int = TASK_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row; texts with 100 * intersection >= threshold * union are
-    linked, and a component is named by its least id."""
+def _components(docs: DataFrame, classes: DataFrame, width: int, threshold: int, region: int) -> DataFrame:
+    """node, label of every class that is linked with a lesser one."""
     spark = docs.sparkSession
+    members = materialise(_regions(classes, region).join(classes.select("node", "n", "values"), "node"), "members")
+    dealt = lambda rows, tasks: rows.withColumn("task", F.pmod(F.xxhash64("region"), F.lit(tasks)).cast("int")).groupBy("task")
+    tasks = max(partitions(spark), -(-members.count() // MEMBER_ROWS))
+    chosen = dealt(members, tasks).applyInArrow(lambda table: _choices(table, threshold), "u long, v long, w long, agree long, centre long")
+    best, middle = F.max_by("v", F.struct("agree", -F.col("v"))), F.max_by("w", F.struct("centre", -F.col("w")))
+    chosen = materialise(chosen.groupBy(F.col("u").alias("node")).agg(best.alias("best"), middle.alias("middle")), "choices")
+    # every class with a candidate has a choice, so these are all classes whose sets can be asked for
+    wanted = materialise(chosen.select("node").join(classes.select("node", "n", "set_key"), "node"), "wanted")
+    sets = wanted.join(_sets_of(docs, wanted.select("set_key"), width), "set_key").select("node", "n", "shingles")
+    sets = materialise(sets, "sets")
+    pairs = chosen.select("node", F.explode(F.array("best", "middle")).alias("other"))
+    pairs = pairs.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
+    links = materialise(_confirmed(pairs, sets, threshold), "links")
+    labels = components(links)
+    labelled = lambda rows: rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rest = dealt(labelled(members.join(chosen, "node")), tasks).applyInArrow(lambda table: _open_members(table, threshold), "region long, node long")
+    rest = materialise(rest, "open")
+    if rest.isEmpty():
+        return labels
+    size = rest.join(sets.select("node", "n"), "node").agg(F.sum("n")).first()[0]
+    tasks = max(partitions(spark), -(-size // TASK_SHINGLES))
+    more = dealt(labelled(rest.join(sets, "node")), tasks).applyInArrow(lambda table: _region_links(table, threshold), "u long, v long")
+    more = materialise(more, "more-links")
+    return labels if more.isEmpty() else components(links.unionByName(more))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 80, region: int = REGION) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, text_hash and component for every row; texts with 100 * intersection >=
+    threshold * union are linked, and a component is named by its least id. text_hash tells rows of one id apart, and
+    component (null for an empty set) components that share a least id."""
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = materialise(_sign(docs, width), "signed")
-    classes = signed.where("n > 0").groupBy("set_key").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig"))
+    classes = signed.where("n > 0").groupBy("set_key").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("values").alias("values"))
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    regions = _regions(classes, region)
-    tasks = 4 * partitions(spark)
-    regions = regions.withColumn("task", F.pmod(F.xxhash64("tree", "key"), F.lit(tasks)).cast("int"))
-    links = regions.groupBy("task").applyInArrow(lambda table: _links(table, threshold), "u long, v long")
-    candidates = components(links)
-    confirmed = materialise(_confirm(docs, classes, candidates, width, threshold, task_shingles), "confirmed")
-    labelled = classes.select("node", "set_key", "least").join(confirmed, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    found = materialise(_components(docs, classes, width, threshold, region), "components")
+    labelled = classes.select("node", "set_key", "least").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
     names = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = labelled.join(names, "label").select("set_key", "component_id")
-    out = signed.select("id", "n", "set_key").join(named, "set_key", "left")
+    named = labelled.join(names, "label").select("set_key", "component_id", F.col("label").alias("component"))
+    out = signed.select("id", "text_hash", "n", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "text_hash", "component")

@@ -94,7 +94,6 @@ def test_pack(odd, odd_rows):
     from tokenizers import Tokenizer
 
     ref = Tokenizer.from_file(tokenizer_path())
-    ref.encode_special_tokens = True
     got = rows_of(packing.pack(odd, tokenizer_path(), capacity=64, cell_rows=5))
     want = Counter()
     for r in odd_rows:
@@ -119,8 +118,7 @@ def test_long_white_space_packs_as_the_reference_tokenizer_has_it():
     from tokenizers import Tokenizer
 
     ref, own = Tokenizer.from_file(tokenizer_path()), packing.encoder(tokenizer_path())
-    for text in ("x" + " " * 300 + "y z", " " * 300 + "\n\n  " + "\t" * 400, "a\n" + "\n" * 500 + "b", " " * 999 + "'s", "!" * 700 + " " * 256, "q" + " " * 256 + "\tq", "<|endoftext|> a"):
-        ref.encode_special_tokens = True
+    for text in ("x" + " " * 300 + "y z", " " * 300 + "\n\n  " + "\t" * 400, "a\n" + "\n" * 500 + "b", " " * 999 + "'s", "!" * 700 + " " * 256, "q" + " " * 256 + "\tq", "<|endoftext|> a", "a <|endoftext|><|endoftext|>\n\n b <|endoftext", "<|endoftext|>"):
         assert packing.encode(own, text) == ref.encode(text, add_special_tokens=False).ids
     assert len(packing.encode(own, " " * 1_000_000)) > 0
 
@@ -205,7 +203,7 @@ def brute_components(rows, threshold):
     return sets, label
 
 
-@pytest.mark.parametrize("options", [{}, {"region": 2}, {"region": 2, "task_shingles": 150}])
+@pytest.mark.parametrize("options", [{}, {"region": 2}, {"region": 5}])
 def test_near(odd, odd_rows, options):
     sets, label = brute_components(odd_rows, 85)
     got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_groups(odd, threshold=85, **options).collect())
@@ -228,7 +226,7 @@ def test_near_large_group(spark):
         rows.append((i, " ".join(w)))
     rows += [(1000 + i, " ".join(f"v{rng.randint(0, 500)}" for _ in range(80))) for i in range(50)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {r["doc_id"]: r["component_id"] for r in neardup.near_groups(df, threshold=85, region=16, task_shingles=5000).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_groups(df, threshold=85, region=16).collect()}
     assert all(got[i] == 0 for i in range(400)) and all(got[1000 + i] == 1000 + i for i in range(50))
 
 
@@ -287,6 +285,45 @@ def test_repeats_dealt_anew(spark, odd, monkeypatch):
     assert a == b
 
 
+def test_repeats_parts_follow_the_segments(spark, odd):
+    from tessera.llm.common import text_bytes
+
+    rows = odd.select(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
+    assert text_bytes(rows, "text") == rows.agg(F.sum(F.octet_length("text"))).first()[0]
+    spans = lambda n: Counter(tuple(r) for r in repeats.repeated_spans(rows, 100, part_segments=n).select("id", "tie", "start", "stop").collect())
+    mark = lambda n: {(i, t, k) for i, t, a, b in spans(n) for k in range(a, b)}
+    assert mark(1) == mark(1 << 15) != set()
+
+
+def test_repeats_part_memory_is_bounded():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    n, length = 200_000, 100
+    size = np.full(n, 168)
+    raw = rng.integers(97, 123, (n, 168)).astype(np.uint8)
+    content = [x.tobytes() for x in raw]
+    del raw
+    ids, zero = np.arange(n), np.zeros(n, np.int64)
+    tracemalloc.start()
+    try:
+        repeats.meet_part(ids // 3, ids, zero, zero, size, np.full(n, 68, np.int32), content, length)
+        assert tracemalloc.get_traced_memory()[1] < 400e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_slices_keep_keys_whole():
+    import numpy as np
+
+    key = np.random.default_rng(0).integers(0, 40, 300)
+    got = repeats.slices(key, 20)
+    assert [set(key[a]) & set(key[b]) for i, a in enumerate(got) for b in got[:i]] == [set()] * (len(got) * (len(got) - 1) // 2)
+    assert sorted(np.concatenate(got).tolist()) == [i for i in range(300) if (key == key[i]).sum() > 1]
+
+
 def test_suffix_order():
     import numpy as np
 
