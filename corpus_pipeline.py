@@ -2,14 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir), works on everything that its predecessor kept, and returns a DataFrame that is
 written before the next stage reads it. All but the last return the columns of documents. Defined results: null texts
-count as empty and null sources are a source; rows equal in id and text count as copies of each other and one stays; an
-id that repeats with other texts stands for all its rows; a null id is an id like any other; empty tables stay empty;
-extra columns pass through up to the last stage.
+count as empty and null sources are a source; rows equal in id and text count as copies of each other and one stays;
+rows that repeat an id with other texts are documents of their own; a null id is an id like any other; empty tables stay
+empty; extra columns pass through up to the last stage, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import exactdup, mixing, neardup, packing, quality
@@ -17,36 +17,51 @@ from tessera.llm.common import documents, id_bucket, materialise
 from tessera.llm.queries import tokenizer_path
 
 
-def _keep(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose id is among the kept; where an id is kept several times, one row of each of its texts. The
-    join is a merge join at every size, so what it shuffles is in proportion to the input."""
-    ids = kept.groupBy(F.col("doc_id").alias("__kept")).agg(F.count(F.lit(1)).alias("__rows"))
-    ids = materialise(ids, "kept")
-    match = F.col("doc_id").eqNullSafe(F.col("__kept"))
-    once = docs.join(ids.where("__rows = 1").hint("merge"), match, "left_semi")
-    if ids.where("__rows > 1").isEmpty():
-        return once
-    more = docs.join(ids.where("__rows > 1").hint("merge"), match, "left_semi").withColumn("__text", exactdup.normalised(F.col("text")))
-    return once.unionByName(more.dropDuplicates(["doc_id", "__text"]).drop("__text"))
+def _keep(docs: DataFrame, rows: DataFrame, key: Column) -> DataFrame:
+    """The rows of docs that are kept, given rows(doc_id, kept, key) for each row of docs; key of a column `text` tells
+    rows of one id apart. Of rows equal in id and key the first by text stays, then by a hash of all columns. The join is a
+    merge join at every size, so what it shuffles is in proportion to the input."""
+    names, own = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*own)
+    doc_id, text = (F.col(own[names.index(c)]) for c in ("doc_id", "text"))
+    ids = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.max("kept").alias("kept"))
+    ids = materialise(ids.where("kept"), "kept")
+    match = doc_id.eqNullSafe(F.col("doc_id"))
+    once = plain.join(ids.where("rows = 1").hint("merge"), match, "left_semi")
+    several = ids.where("rows > 1").select("doc_id")
+    if several.isEmpty():
+        return once.toDF(*names)
+    chosen = rows.where("kept").select(F.col("doc_id").alias("id"), "key").distinct()
+    more = plain.join(several.hint("merge"), match, "left_semi").withColumn("text", text).withColumn("own_key", key).drop("text")
+    more = more.join(chosen.hint("merge"), doc_id.eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")), "left_semi")
+    order = Window.partitionBy(doc_id, "own_key").orderBy(text, F.xxhash64(*[F.col(c).cast("string") for c in own]))
+    more = more.withColumn("place", F.row_number().over(order)).where("place = 1")
+    return once.unionByName(more.select(*own)).toDF(*names)
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts. It learns from the labels outside the held-out fifth."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs, labels, F.coalesce(id_bucket("doc_id", 5) != 0, F.lit(False)))
-    carried = {f"__c{i}": F.col(f"`{c}`") for i, c in enumerate(docs.columns)}
-    scored = quality.score(docs, model, also=carried).where("predicted = 1")
-    return scored.select([F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return quality.accepted(docs, model)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest id."""
-    return _keep(docs, exactdup.exact_groups(docs, keep="max").where("kept").select("doc_id"))
+    rows = exactdup.exact_groups(docs, keep="max").select("doc_id", "kept", F.col("digest").alias("key"))
+    return _keep(docs, rows, F.sha2(exactdup.normalised(F.col("text")), 256))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a similarity of 0.8 or more on shingles of five words, the row with the least id."""
-    return _keep(docs, neardup.near_groups(docs).where("kept").select("doc_id"))
+    """Of each group linked by a similarity of 0.8 or more on shingles of five words, the row with the least id; of
+    several rows with that id, the one with the least hash of its text. A text without words is linked with nothing."""
+    rows = materialise(neardup.near_groups(docs), "near")
+    named = rows.where("kept and n_shingles > 0")
+    several = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("id"))
+    if not several.isEmpty():
+        least = named.join(several, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").groupBy("component").agg(F.min("text_hash").alias("least"))
+        rows = rows.join(least, "component", "left").withColumn("kept", F.col("kept") & F.coalesce(F.col("text_hash") == F.col("least"), F.lit(True)))
+    return _keep(docs, rows.select("doc_id", "kept", F.col("text_hash").alias("key")), F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

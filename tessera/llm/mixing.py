@@ -5,9 +5,8 @@ tokens up to and including it, divided by the source's target; a source whose ta
 up to max_repeats times. The mix is the documents in order of finish time, cut at the total budget.
 
 Running totals never gather a source in one task: the shuffled order is cut into cells of a hash prefix (a source with
-more rows gets more cells), cells are summed first, and only rows of one cell meet. The global order is cut into ranges
-of finish time in the same way; since each source spends its target evenly over time 0 to 1, ranges of equal width hold
-about equal numbers of tokens.
+more rows gets more cells), cells are summed first, and only rows of one cell meet. The global order is a range sort by
+finish time: partitions are summed, one row each, and only the partition in which the budget ends is cut row by row.
 
 Defined results: null text has size 0; rows of size 0 stay in their place and add nothing; a source of size 0 has target
 0 and nothing is taken; with no tokens at all all targets are 0. Rows that repeat an id and source are ordered by size.
@@ -19,8 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import materialise, partitions
 
+#: Rows that a partition of the global order is meant to have.
+RANGE_ROWS = 500_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -93,8 +94,9 @@ def fair_queue(docs: DataFrame, weights: DataFrame | None = None, id_col: str =
 
     copies = rows.where("size > 0 and target > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))))
     copies = copies.withColumn("finish", (F.col("epoch") * F.col("source_size") + F.col("ahead")) / F.col("target"))
-    ranges = max(1, -(-rows.count() // cell_rows))
-    copies = copies.withColumn("range", F.least(F.floor(F.col("finish") * ranges), F.lit(2 * ranges)))
+    parts = max(partitions(docs.sparkSession), -(-max_repeats * rows.count() // RANGE_ROWS))
+    copies = in_order(copies.select("id", "source", "size", "epoch", "finish", "shuffled", "ahead"), parts)
+    copies = materialise(copies.withColumn("range", F.spark_partition_id()), "order")
     sums = copies.groupBy("range").agg(F.sum("size").alias("range_size"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = materialise(sums.withColumn("start", F.coalesce(F.sum("range_size").over(before), F.lit(0))), "ranges")
@@ -122,10 +124,17 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     return rows.join(taken, "key", "left").select(F.col("id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that the mix takes, each as often as it is taken; columns as in docs. An id that repeats in docs
-    counts once for each of its rows."""
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", ordered: bool = False, **options) -> DataFrame:
+    """The rows of docs that the mix takes, each as often as it is taken; columns as in docs, whatever their names. An id
+    that repeats in docs counts once for each of its rows. ordered sorts the rows themselves by finish time, which moves
+    the texts a second time; what comes next here, packing, doesn't ask for an order."""
     _, mix = fair_queue(docs, id_col=id_col, **options)
-    times = mix.groupBy("id", "epoch").agg(F.count(F.lit(1)).alias("rows")).groupBy("id").agg(F.count(F.lit(1)).alias("times"))
-    out = docs.join(times.hint("merge"), docs[id_col].eqNullSafe(times["id"]))
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select([docs[c] for c in docs.columns])
+    taken = mix.groupBy("id", "epoch").agg(F.min("finish").alias("finish"), F.min("shuffled").alias("shuffled"))
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*own)
+    if ordered:
+        out = rows.join(taken.hint("merge"), F.col(own[docs.columns.index(id_col)]).eqNullSafe(F.col("id")))
+        return in_order(out, partitions(docs.sparkSession)).select(*own).toDF(*docs.columns)
+    times = taken.groupBy("id").agg(F.count(F.lit(1)).alias("times"))
+    out = rows.join(times.hint("merge"), F.col(own[docs.columns.index(id_col)]).eqNullSafe(F.col("id")))
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*own).toDF(*docs.columns)

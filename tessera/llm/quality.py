@@ -14,6 +14,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -192,3 +194,17 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "quali
 def score(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id", text_col: str = "text", also: dict[str, Column] | None = None, threshold: float = 0.3) -> DataFrame:
     """id, the columns of also, score and predicted, for every row of docs."""
     return score_texts(docs, model.score, id_col, text_col, also, threshold)
+
+
+def accepted(docs: DataFrame, model: AdditiveModel, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs with a score of the threshold or more, as they are. Only texts go to Python, only scores return."""
+    shared = docs.sparkSession.sparkContext.broadcast(model.score)
+
+    @F.arrow_udf("double")
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for text in texts:
+            batch = pa.RecordBatch.from_arrays([text], ["text"])
+            parts = [shared.value(buf, off) for _, buf, off in K.chunks(batch, "text")]
+            yield pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
+
+    return docs.where(scored(F.col(text_col)) >= threshold)

@@ -30,7 +30,7 @@ def odd(spark, odd_rows):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(odd_rows, SCHEMA).repartition(3)
-    for c in ("score", "size", "node", "digest", "cell", "label", "sequence_id", "kept", "word", "bucket", "id"):
+    for c in ("score", "size", "node", "digest", "cell", "label", "sequence_id", "kept", "word", "bucket", "id", "times", "copy", "c0", "rows", "key", "own_key", "place", "epoch", "region", "values", "tie", "part", "n"):
         df = df.withColumn(c, F.lit("clash"))
     return df
 

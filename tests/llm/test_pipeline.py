@@ -40,6 +40,22 @@ def test_exact_stage(spark, odd, odd_rows, home):
     assert got.count() == len(best)
 
 
+def test_exact_stage_matches_rows_and_not_ids_alone(spark, home):
+    a, b = "first text of the id", "second text of the id"
+    docs = spark.createDataFrame([(5, a, "x"), (5, b, "x"), (9, b.upper(), "y"), (9, b, "y"), (9, b, "z")], "doc_id bigint, text string, place string")
+    got = [tuple(r) for r in P.drop_exact_copies(spark, docs, home).collect()]
+    assert sorted(got) == [(5, a, "x"), (9, b.upper(), "y")]
+
+
+def test_near_stage_keeps_one_row_of_a_group(spark, home):
+    words = [f"w{i}" for i in range(60)]
+    a, b, other = " ".join(words), " ".join([*words, "tail"]), " ".join(f"v{i}" for i in range(40))
+    docs = spark.createDataFrame([(5, a), (5, b), (9, b + " end"), (5, other), (7, other), (3, " "), (4, "")], "doc_id bigint, text string")
+    got = sorted(tuple(r) for r in P.drop_near_copies(spark, docs, home).collect())
+    assert [i for i, _ in got] == [3, 4, 5, 5]
+    assert sorted(t[:2] for i, t in got if i == 5) == ["v0", "w0"]
+
+
 def test_near_stage(spark, odd, odd_rows, home):
     _, label = brute_components(odd_rows, 80)
     want = {min((r[0] for r, c in zip(odd_rows, label, strict=True) if c == k and r[0] is not None), default=None) for k in set(label)}
