@@ -1,12 +1,14 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Texts are taken as characters (A-Z in lower case); the n-grams of one to three characters fall into hash buckets. The
-model is a matrix of log probabilities, languages by buckets, which is broadcast: at most max_langs * n_buckets numbers.
+model is a matrix of log probabilities, languages by buckets, which is broadcast: at most MAX_CELLS numbers, as there are
+fewer buckets where there are very many languages (over 340 at the default).
 A batch is scored as a sparse product: the bucket of each n-gram picks the matrix's column, and runs of columns are
 summed per document.
 
-Fitted on a bounded sample: at most about per_lang documents a language, chosen by a hash of the id, and the max_langs
-most frequent languages. The prior is the share of all rows, not of the sample. Defined results: null text, or one without a letter, is `und` with score 0; with nothing to
+Fitted on a bounded sample: at most about per_lang documents a language, chosen by a hash of the id; every language is
+learnt, and a column with more than MAX_LANGS values is refused as no language column. The prior is the share of all
+rows, not of the sample. Defined results: null text, or one without a letter, is `und` with score 0; with nothing to
 learn from, everything is `und`; repeated rows are scored each; ties go to the language that sorts first. An empty
 table gives no rows. Extra columns are ignored.
 """
@@ -23,6 +25,8 @@ from tessera.llm.common import uniform
 from tessera.llm.training import fit_once
 
 ORDERS = (1, 2, 3)
+#: Numbers of the matrix (128 MB), and values of a language column.
+MAX_CELLS, MAX_LANGS = 1 << 25, 1 << 14
 FACTORS = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
 
 
@@ -92,10 +96,12 @@ class NgramModel:
         return p / p.sum(axis=1, keepdims=True)
 
 
-def sample(docs: DataFrame, allowed: Column, per_lang: int, max_langs: int, seed: int, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, dict[str, int]]:
+def sample(docs: DataFrame, allowed: Column, per_lang: int, seed: int, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, dict[str, int]]:
     """The chosen rows, and the number of all rows of each language."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.coalesce(allowed, F.lit(False)))
-    counts = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    counts = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGS + 1).collect()
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"{lang_col} has more than {MAX_LANGS} values")
     if not counts:
         return rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).limit(0), {}
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_lang / r["n"]))])
@@ -103,8 +109,10 @@ def sample(docs: DataFrame, allowed: Column, per_lang: int, max_langs: int, seed
     return chosen.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), {r["lang"]: r["n"] for r in counts}
 
 
-def fit(docs: DataFrame, allowed: Column, per_lang: int = 2000, max_langs: int = 256, bits: int = 15, smoothing: float = 0.5, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> NgramModel:
-    chosen, of_lang = sample(docs, allowed, per_lang, max_langs, seed, id_col, text_col, lang_col)
+def fit(docs: DataFrame, allowed: Column, per_lang: int = 2000, bits: int = 15, smoothing: float = 0.5, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> NgramModel:
+    chosen, of_lang = sample(docs, allowed, per_lang, seed, id_col, text_col, lang_col)
+    while bits > 4 and len(of_lang) * len(ORDERS) << bits > MAX_CELLS:
+        bits -= 1
     return fit_once(chosen, lambda t: NgramModel.fit(t, of_lang, bits, smoothing))
 
 

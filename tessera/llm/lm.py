@@ -8,8 +8,10 @@ class comes from the counts of all training texts, add-half smoothed with one un
 
 Baum-Welch: each partition runs scaled forward and backward recursions over its training texts, in stretches of
 `stretch` tokens, and adds up expected transitions and emissions; the partitions' sums are added as a tree, and the
-model (states x symbols numbers, fixed in size) goes back out. Scoring runs the scaled forward recursion over each
-whole text: the exact likelihood under the model.
+model (states x symbols numbers, fixed in size) goes back out. All tokens of all training texts count, but a transition
+over the border of two stretches doesn't: a stretch inside a text starts from the average state. Scoring runs the scaled
+forward recursion over each whole text: the exact likelihood under the model, in one step a token of the longest text of
+a chunk.
 
 Word counts are as large as the vocabulary, so they are never broadcast: texts are dealt into buckets of bounded size,
 each bucket asks for the counts of its own distinct words by a join, and meets its texts in a cogroup.
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
-from tessera.llm.common import materialise, partitions
+from tessera.llm.common import materialise, partitions, text_bytes
 
 BUCKET_BYTES = 16 << 20
 PIECE_TOKENS = 1 << 19
@@ -272,8 +274,7 @@ def score(docs: DataFrame, train: Column, states: int = 8, symbols: int = 1 << 1
         seeds += [x for x in np.split(part, ends[:-1])[:64] if len(x) >= 20] if len(ends) else []
     model = baum_welch(encoded, Hmm.seeded(seeds, mass, states), mass, symbols, rounds, stretch, prior)
 
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets = max(partitions(spark), -(-2 * size // BUCKET_BYTES)) if size < 1 << 60 else partitions(spark)
+    buckets = max(partitions(spark), -(-text_bytes(docs, text_col) // BUCKET_BYTES))
     bucket = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(buckets)).cast("int")
     extra = list(also or {})
     texts_by = docs.select(bucket.alias("bucket"), F.col(id_col), *[c.alias(n) for n, c in (also or {}).items()], F.col(text_col).alias("text"))

@@ -6,7 +6,8 @@ The rest is a bin packing instance whose lengths are integers below the capacity
 at most `capacity` counts reach the driver, whatever the corpus. There bin completion searches: it takes the largest
 length left, enumerates the undominated fillings around it, drops branches whose waste reaches the bound set by the
 incumbent, and completes every node by best-fit decreasing to get new incumbents. A filling is applied to as many bins
-as the counts allow at once. Pieces then find their place by their rank within their length; ranks come from cells of
+as the counts allow at once. The search is bounded, at every size alike: `nodes` nodes, three fillings a node, 2,000
+steps to enumerate them; the packing is whole whatever it finds. Pieces then find their place by their rank within their length; ranks come from cells of
 bounded size, so a length shared by a third of all pieces is spread over many tasks.
 
 Defined results: null text is empty, so it packs as the end id alone; rows that repeat a document are packed each; ties
@@ -37,8 +38,8 @@ _encoders: dict = {}
 
 
 def encoder(path: str):
-    """The byte-level BPE of a tokenizer file in JSON, run by a faster engine; the ids are the same. Strings of special
-    tokens count as ordinary text."""
+    """The byte-level BPE of a tokenizer file in JSON, run by a faster engine; the ids are the same. A string of an added
+    token in a text is that token's id, as the file's own engine has it; `added` holds them, `cuts` finds them."""
     if path not in _encoders:
         import tiktoken
 
@@ -49,12 +50,29 @@ def encoder(path: str):
         byte_of = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
         special = {x["content"] for x in spec.get("added_tokens", [])}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        _encoders[path] = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        bpe = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        bpe.added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+        longest = sorted(bpe.added, key=len, reverse=True)
+        bpe.cuts = re.compile("|".join(map(re.escape, longest))) if longest else None
+        _encoders[path] = bpe
     return _encoders[path]
 
 
 def encode(bpe, text: str) -> list[int]:
-    """Ids of a text. The splitter's lookahead recurses on long white space, so such runs are split here by the same rule:
+    """Ids of a text, cut at the added tokens in it."""
+    if bpe.cuts is None or not any(x in text for x in bpe.added):
+        return encode_plain(bpe, text)
+    ids: list[int] = []
+    at = 0
+    for cut in bpe.cuts.finditer(text):
+        ids += encode_plain(bpe, text[at : cut.start()])
+        ids.append(bpe.added[cut.group()])
+        at = cut.end()
+    return ids + encode_plain(bpe, text[at:])
+
+
+def encode_plain(bpe, text: str) -> list[int]:
+    """Ids of a text without added tokens. The splitter's lookahead recurses on long white space, so such runs are split here by the same rule:
     all but the last character of a run, or the whole run at the end of the text, is one piece."""
     ids: list[int] = []
     at = 0
@@ -143,58 +161,96 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def fillings(counts: dict[int, int], room: int, waste: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill room with at most `most` results, least waste first: multisets of the lengths that are
-    left, in falling order, which waste at most `waste`. A filling is dominated if a single longer length could take the
-    place of some of its pieces at no more waste; falling order and the test at the end leave those out."""
+def _reachable(lengths: list[int], room: int) -> list[int]:
+    """For each place in lengths, the sums up to room (as bits) that the lengths from there on can make."""
+    mask, out, sums = (1 << (room + 1)) - 1, [1] * (len(lengths) + 1), 1
+    for i in range(len(lengths) - 1, -1, -1):
+        k = lengths[i]
+        while k <= room:
+            sums |= (sums << k) & mask
+            k *= 2
+        out[i] = sums
+    return out
+
+
+def dominated(chosen: tuple[int, ...], slack: int, left: dict[int, int]) -> bool:
+    """Whether one length that is left could take the place of two or more of the chosen pieces, within the slack."""
+    one, more = 0, 0
+    for k in chosen:
+        more |= (more << k) | (one << k)
+        one |= 1 << k
+    sums = more
+    for _ in range(slack):
+        sums |= more << 1
+        more <<= 1
+    return any(sums >> k & 1 for k, n in left.items() if n > chosen.count(k))
+
+
+def fillings(counts: dict[int, int], room: int, waste: int, most: int, steps: int = 2000) -> list[tuple[int, ...]]:
+    """Undominated ways to fill room, least waste first and longest pieces first: multisets of the lengths that are left,
+    in falling order, that waste at most `waste`. Sums that the shorter lengths can't make are not entered. Ends with
+    `most` results or after so many steps."""
     lengths = sorted((k for k in counts if k <= room and counts[k]), reverse=True)
-    found: list[tuple[int, tuple[int, ...]]] = []
-    steps = 0
-
-    def go(at: int, room: int, chosen: tuple[int, ...]) -> None:
-        nonlocal steps
-        steps += 1
-        fits = False
-        for i in range(at, len(lengths)):
-            if steps > 40 * most:
-                return
-            k = lengths[i]
-            if k <= room and counts[k] > chosen.count(k):
-                fits = True
-                go(i, room - k, (*chosen, k))
-        if not fits and room <= waste:
-            found.append((room, chosen))
-
-    go(0, room, ())
-    found.sort(key=lambda x: (x[0], len(x[1]), [-k for k in x[1]]))
+    reach = _reachable(lengths, room)
+    left = {k: counts[k] for k in lengths}
     kept: list[tuple[int, ...]] = []
-    for _, chosen in found:
-        pair_sums = {a + b for i, a in enumerate(chosen) for b in chosen[i + 1 :]}
-        if not any(s in counts and counts[s] > chosen.count(s) for s in pair_sums) and chosen not in kept:
-            kept.append(chosen)
-        if len(kept) == most:
+    for lost in range(min(waste, room) + 1):
+        if not reach[0] >> (room - lost) & 1:
+            continue
+        stack: list[tuple[int, int, tuple[int, ...]]] = [(0, room - lost, ())]
+        while stack and steps and len(kept) < most:
+            at, need, chosen = stack.pop()
+            steps -= 1
+            if not need:
+                if not dominated(chosen, lost, left):
+                    kept.append(chosen)
+                continue
+            branches = []
+            for i in range(at, len(lengths)):
+                k = lengths[i]
+                if not reach[i] >> need & 1:
+                    break
+                if k <= need and reach[i] >> (need - k) & 1 and left[k] > chosen.count(k):
+                    branches.append((i, need - k, (*chosen, k)))
+                    if len(branches) > 4 * most:
+                        break
+            stack.extend(reversed(branches))
+        if len(kept) >= most or not steps:
             break
-    return kept or [c for _, c in found[:1]]
+    return kept
 
 
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 2000, width: int = 4) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """Branch and bound. Ends when the incumbent meets the lower bound, or after so many nodes with the best incumbent."""
+def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 3000, width: int = 3) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """Branch and bound: around the largest length left, at most `width` undominated fillings, each for as many bins as the
+    counts allow. A node is dropped if its waste reaches what the incumbent leaves; nodes are completed by best fit, which
+    gives new incumbents. The search dives by the first filling; where a dive ends, the next begins at a filling put aside
+    at about a third of those still waiting, so it isn't only the last choices that are tried anew. Ends when the
+    incumbent meets the lower bound, or after `nodes` nodes."""
     counts = {k: c for k, c in counts.items() if c}
     size = lambda plan: sum(b for _, b in plan)
     best = best_fit(counts, capacity)
     bound, total = lower_bound(counts, capacity), sum(k * c for k, c in counts.items())
-    visited = 0
-    stack: list = [(counts, (), 0, 0)] if size(best) > bound else []
-    while stack and visited < nodes:
-        left, plan, bins, waste = stack.pop()
+    least, visited = size(best), 0
+    waiting: list = []
+    node = (counts, None, 0, 0)
+    while least > bound and visited < nodes and (node or waiting):
+        left, plan, bins, waste = node or waiting.pop(len(waiting) // 3)
+        node = None
         visited += 1
-        allowed = (size(best) - 1) * capacity - total - waste
+        allowed = (least - 1) * capacity - total - waste
         if allowed < 0 or not left:
             continue
+        whole = best_fit(left, capacity)
+        if bins + size(whole) < least:
+            steps, at = [], plan
+            while at:
+                steps.append(at[0])
+                at = at[1]
+            best, least = [*reversed(steps), *whole], bins + size(whole)
+            allowed = (least - 1) * capacity - total - waste
         top = max(left)
-        rest = left | {top: left[top] - 1}
         branches = []
-        for chosen in fillings(rest, capacity - top, min(allowed, capacity - top), width):
+        for chosen in fillings(left | {top: left[top] - 1}, capacity - top, min(allowed, capacity - top), width):
             use: dict[int, int] = {top: 1}
             for k in chosen:
                 use[k] = use.get(k, 0) + 1
@@ -202,14 +258,10 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 2000, wid
             times = min(left[k] // u for k, u in use.items())
             times = max(1, min(times, allowed // lost if lost else times))
             after = {k: c for k in left if (c := left[k] - times * use.get(k, 0))}
-            step = (*plan, (tuple(sorted(use.items(), reverse=True)), times))
-            whole = [*step, *best_fit(after, capacity)]
-            if size(whole) < size(best):
-                best = whole
-            branches.append((after, step, bins + times, waste + times * lost))
-        if size(best) == bound:
-            break
-        stack.extend(reversed(branches))
+            branches.append((after, ((tuple(sorted(use.items(), reverse=True)), times), plan), bins + times, waste + times * lost))
+        if branches:
+            node = branches[0]
+            waiting += branches[1:]
     return best
 
 
@@ -240,7 +292,7 @@ def _ranked(pieces: DataFrame, cell_rows: int) -> DataFrame:
     return pieces.join(sums, ["length", "cell"]).withColumn("rank", F.col("first") + F.row_number().over(within) - 1).drop("first", "cell")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", cell_rows: int = 20_000, nodes: int = 2000, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", cell_rows: int = 20_000, nodes: int = 3000, with_ids: bool = False) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and with_ids the ids."""
     pieces = tokenise(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids)
     pieces = materialise(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")

@@ -10,7 +10,7 @@ pass 2^53, else in Python integers.
 
 Defined results: rows whose vector is null, or holds a null or non-finite component, take no part; shorter vectors
 count as filled up with zeros; an empty vector scores 0 with all; rows without id take no part; rows that repeat a
-query's id count as the query itself; ties go to the smaller id. With fewer than k candidates all are returned. Empty
+query's id count as the query itself, whose vector is the least of theirs; ties go to the smaller id. With fewer than k candidates all are returned. Empty
 tables give no rows. Extra columns are ignored.
 """
 
@@ -65,7 +65,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     query's own."""
     rows = materialise(quantised(vectors, id_col, vec_col, scale), "vectors")
     marked = rows.withColumnRenamed("id", id_col).where(is_query).withColumnRenamed(id_col, "id")
-    marked = marked.dropDuplicates(["id"])
+    marked = marked.groupBy("id").agg(F.min("v").alias("v"))
     width, least, most, n = rows.agg(F.max(F.size("v")), F.min(F.array_min("v")), F.max(F.array_max("v")), F.count(F.lit(1))).first()
     parts = None
     blocks = max(1, -(-marked.count() // block_rows))

@@ -5,8 +5,9 @@ inflected forms share what their stem has learned. Filters of one, two and three
 its maximum over the whole text, and a logistic layer turns the maxima into a probability. Only the winning position of
 a filter gets a gradient, so training touches few rows. Thresholds are calibrated by language: the language comes from
 the text (naive Bayes over the same word hashes, fitted on the sample's languages), never from a column, and each
-language's threshold is the probability that separates its labelled documents best. The score is the probability
-stretched so that the threshold of the text's language becomes 0.5.
+language's threshold is the probability that separates its labelled documents best. A fifth of the sample is held back
+from training and calibrates; where it has fewer than MIN_HELD_BACK documents of either label, all of the sample does.
+The score is the probability stretched so that the threshold of the text's language becomes 0.5.
 
 Fitted on a bounded sample of labelled documents: at most per_class of each label. Defined results: null text counts as
 empty; an empty text gets a score like any other, from the filters' value on padding; with labels of one kind only, the
@@ -26,6 +27,7 @@ from tessera.llm.training import fit_once, labelled_sample
 WIDTHS = (1, 2, 3)
 PAD = WIDTHS[-1] - 1
 PARTS = 4  # word, and three prefixes
+MIN_HELD_BACK = 20
 #: Characters that end a word's core; they are cut from both ends before hashing.
 IS_EDGE = np.zeros(256, bool)
 IS_EDGE[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -232,7 +234,7 @@ def best_threshold(p: np.ndarray, label: np.ndarray) -> float:
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic", per_class: int = 3000, bits: int = 14, dims: int = 8, filters: int = 8, epochs: int = 6, rate: float = 0.1, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> TextCnn:
     sample = labelled_sample(docs, labels, label, allowed, per_class, seed, id_col, text_col)
     langs = docs.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("lang")) if lang_col in docs.columns else docs.select(F.col(id_col).alias("i"), F.lit(None).cast("string").alias("lang"))
-    sample = sample.join(langs.join(F.broadcast(sample.select(id_col)), F.col("i") == F.col(id_col), "left_semi").dropDuplicates(["i"]), F.col("i") == F.col(id_col)).drop("i")
+    sample = sample.join(langs.join(F.broadcast(sample.select(id_col)), F.col("i") == F.col(id_col), "left_semi").groupBy("i").agg(F.min("lang").alias("lang")), F.col("i") == F.col(id_col)).drop("i")
 
     def train(table: pa.Table) -> TextCnn:
         model = TextCnn(bits, dims, filters, seed)
@@ -240,13 +242,24 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column, label: str = "toxic
         if len(set(label.tolist())) < 2:
             model.constant = float(label.mean()) if len(label) else 0.0
             return model
-        texts = table.column("text").fill_null("").to_pylist()
-        data = b"".join(raw := [t.encode() for t in texts])
-        off = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
-        rows, ends = word_rows(np.frombuffer(data, np.uint8), off, bits)
-        model.fit(rows, ends, label, epochs, rate, 64, seed)
-        model.fit_languages(rows, ends, table.column("lang").to_pylist())
-        model.calibrate(rows, ends, label)
+        raw = [t.encode() for t in table.column("text").fill_null("").to_pylist()]
+        langs = table.column("lang").to_pylist()
+
+        def rows_of(some: np.ndarray):
+            off = np.concatenate([[0], np.cumsum([len(raw[i]) for i in some])]).astype(np.int64)
+            return word_rows(np.frombuffer(b"".join(raw[i] for i in some), np.uint8), off, bits)
+
+        # every fifth document of each label, in the order of the texts
+        held, order = np.zeros(len(raw), bool), sorted(range(len(raw)), key=lambda i: (label[i], raw[i]))
+        held[order[::5]] = True
+        if min(np.bincount(label[held], minlength=2)) < MIN_HELD_BACK:
+            fitted = calibrated = np.arange(len(raw))
+        else:
+            fitted, calibrated = np.flatnonzero(~held), np.flatnonzero(held)
+        rows, ends = rows_of(fitted)
+        model.fit(rows, ends, label[fitted], epochs, rate, 64, seed)
+        model.fit_languages(rows, ends, [langs[i] for i in fitted])
+        model.calibrate(*(rows_of(calibrated) if calibrated is not fitted else (rows, ends)), label[calibrated])
         return model
 
     return fit_once(sample, train)

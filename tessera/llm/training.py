@@ -14,7 +14,8 @@ from tessera.llm.common import uniform
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, per_class: int, seed: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """text and label of at most per_class documents of each label 0 and 1, chosen by a hash of the id. Labels that
-    contradict each other or are null don't count. The ids are chosen first, so only the sample's texts move."""
+    contradict each other or are null don't count. The ids are chosen first, so only the sample's texts move; of several
+    rows with one id the least text counts."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & allowed)
     known = known.groupBy(id_col).agg(F.min(label).alias("label"), F.max(label).alias("most")).where("label = most").drop("most")
     order = uniform(F.col(id_col), F.lit(seed))
@@ -24,7 +25,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
         chosen = part if chosen is None else chosen.unionByName(part)
     # at most 2 * per_class rows of an id and a label
     rows = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col)
-    return rows.dropDuplicates([id_col])
+    return rows.groupBy(id_col).agg(F.min("text").alias("text"), F.min("label").alias("label")).select(id_col, "text", "label")
 
 
 def fit_once(sample: DataFrame, fit: Callable[[pa.Table], object]) -> object:
