@@ -14,14 +14,19 @@ _made: list[tuple[SparkSession, str]] = []
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A new place in the shared folder, deleted when Python ends."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = os.path.join(tempfile.gettempdir(), "checkpoints")
     path = f"{top.rstrip('/')}/tessera-graph/{name}-{uuid.uuid4().hex}"
     _made.append((spark, path))
     return path
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """df with its lineage cut: a Parquet table under spark.checkpoint.dir (a temporary folder where that is unset)."""
+    """df with its lineage cut: a Parquet table under spark.checkpoint.dir; where that is unset, a temporary folder
+    serves a local session and a cluster is refused."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)

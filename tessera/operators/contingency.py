@@ -230,6 +230,10 @@ def correspondence(matches: DataFrame, threshold: float = 0.1) -> DataFrame:
 # --- consistent assignment ------------------------------------------------------------------------------------------
 
 
+#: Clusters of a labeling that are assigned on the driver, in time cubic in their number.
+MAX_ASSIGNED = 2_000
+
+
 def best_assignment(weight: np.ndarray) -> np.ndarray:
     """Column of each row in an assignment of greatest total weight (square matrix): shortest augmenting paths over
     potentials, one row at a time."""
@@ -265,7 +269,10 @@ def best_assignment(weight: np.ndarray) -> np.ndarray:
 def assign_consistently(reference: DataFrame, labels: DataFrame) -> DataFrame:
     """labels renamed to agree best with the reference: the mean of row and column shares of the contingency table is
     maximised over one-to-one maps. Clusters beyond the reference's number get fresh names behind its largest."""
-    cells = contingency(reference, labels).toPandas()  # pairs of clusters
+    for side in (reference, labels):
+        if side.select("cluster").distinct().limit(MAX_ASSIGNED + 1).count() > MAX_ASSIGNED:
+            raise ValueError(f"an assignment takes at most {MAX_ASSIGNED} clusters a side")
+    cells = contingency(reference, labels).toPandas()  # at most the square of that
     names = mapping_of(cells)
     spark = labels.sparkSession
     table = spark.createDataFrame(pd.DataFrame(names, columns=["cluster", "to"]), "cluster int, to int")

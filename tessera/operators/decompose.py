@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.hierarchy import refuse_more
 from tessera.operators.knn import _matrix
 
 MAX_LAYOUT = 10_000
@@ -88,6 +89,20 @@ def pca(points: DataFrame, n_components: int = 2, whiten: bool = False) -> Linea
     return Linear(mean, basis, explained_variance=value, components=vector.T, explained_variance_ratio=value / max(np.trace(cov), 1e-300))
 
 
+def bootstrap_pca(points: DataFrame, n_components: int = 2, n_splits: int = 10, train: float = 0.8, seed: int = 0) -> tuple[DataFrame, list[Linear]]:
+    """Principal components of the training part of each split: the transformed parts (split_id, id, features), and the
+    fitted decomposition of each split."""
+    from tessera.operators.resample import Resampler
+
+    fitted: list[Linear] = []
+
+    def fit(part: DataFrame, split: int):
+        fitted.append(pca(part, n_components))
+        return lambda rows, own=fitted[-1]: own.transform(rows).select("id", "features")
+
+    return Resampler(n_splits, train, seed).fit_transform(points, fit), fitted
+
+
 def truncated_svd(points: DataFrame, n_components: int = 2) -> Linear:
     """Singular vectors of the points as they are, not centred."""
     _, mean, second = moments(points)
@@ -141,8 +156,6 @@ def umap_layout(edges: DataFrame, dims: int = 2, epochs: int = 200, seed: int =
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(np.concatenate([pdf["src"], pdf["dst"]]))
-        if len(ids) > MAX_LAYOUT:
-            raise ValueError(f"a layout takes at most {MAX_LAYOUT} points; got {len(ids)}")
         i, j, w = np.searchsorted(ids, pdf["src"]), np.searchsorted(ids, pdf["dst"]), pdf["weight"].to_numpy()
         rng = np.random.Generator(np.random.Philox(seed))
         y = rng.uniform(-10, 10, (len(ids), dims))
@@ -165,6 +178,7 @@ def umap_layout(edges: DataFrame, dims: int = 2, epochs: int = 200, seed: int =
             y += rate * np.clip(step, -8, 8)
         return pd.DataFrame({"id": ids, "position": list(y)})
 
+    refuse_more(edges.select("src").unionAll(edges.select("dst")), MAX_LAYOUT, "a layout")
     return _layout(edges.select("src", "dst", "weight"), run, "id bigint, position array<double>")
 
 
@@ -174,8 +188,6 @@ def tsne(points: DataFrame, dims: int = 2, perplexity: float = 30.0, epochs: int
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf["features"].to_numpy()).astype(float)
         n = len(x)
-        if n > MAX_LAYOUT:
-            raise ValueError(f"a layout takes at most {MAX_LAYOUT} points; got {n}")
         d = np.maximum((x * x).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * x @ x.T, 0)
         np.fill_diagonal(d, np.inf)
         lo, hi, beta = np.zeros(n), np.full(n, np.inf), np.full(n, 1 / max(np.median(d[np.isfinite(d)]) if n > 1 else 1, 1e-12))
@@ -201,6 +213,7 @@ def tsne(points: DataFrame, dims: int = 2, perplexity: float = 30.0, epochs: int
             y -= y.mean(0)
         return pd.DataFrame({"id": pdf["id"], "position": list(y)})
 
+    refuse_more(points.select("id"), MAX_LAYOUT, "a layout")
     return _layout(points.select("id", "features"), run, "id bigint, position array<double>")
 
 

@@ -6,11 +6,9 @@ after it works on labels tables of any size.
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.labels import level_name
@@ -112,7 +110,8 @@ def _flat(merges: np.ndarray, n: int) -> np.ndarray:
 def level_cuts(merges: np.ndarray, n: int, strategy: str = "natural", max_levels: int | None = None, min_size: int = 2) -> list[np.ndarray]:
     """Labels of each level, coarse to fine. natural: cuts at the merge heights from the top, leaving out repeats of a
     number of clusters and cuts with tiny clusters once there are more than ten, until n // 2 clusters. linear: level + 1
-    clusters. powers_of_2: 2^level clusters, until there are fewer than asked for."""
+    clusters. powers_of_2: 2^level clusters; the first level with fewer than asked for is the last. Both have the levels 0
+    to max_levels, and go on to n clusters without it."""
     strategy = require_choice(strategy, "natural", "linear", "powers_of_2")
     levels: list[np.ndarray] = []
     if n < 2:
@@ -131,15 +130,14 @@ def level_cuts(merges: np.ndarray, n: int, strategy: str = "natural", max_levels
             if k >= max(n // 2, 1):
                 break
         return levels
-    limit = max_levels if max_levels is not None else (min(n, 10) if strategy == "linear" else int(np.log2(n)) + 1)
-    for level in range(limit):
+    last = n - 1 if max_levels is None else min(max_levels, n - 1)
+    for level in range(last + 1):
         want = level + 1 if strategy == "linear" else 2**level
         if want > n:
             break
-        label = cut_into(merges, n, want)
-        if strategy == "powers_of_2" and label.max() < want:
+        levels.append(cut_into(merges, n, want))
+        if strategy == "powers_of_2" and levels[-1].max() < want:
             break
-        levels.append(label)
     return levels
 
 
@@ -165,16 +163,17 @@ def _square(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.maximum(d, d.T)
 
 
-def _one_task(distances: DataFrame, run, schema: str) -> DataFrame:
-    """All pairs in one task; more than MAX_POINTS points are refused."""
+def refuse_more(ids: DataFrame, most: int, what: str) -> None:
+    """Raises if there are more distinct ids than one task may take; counts no further than that."""
+    if ids.distinct().limit(most + 1).count() > most:
+        raise ValueError(f"{what} takes at most {most} points")
 
-    def checked(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, d = _square(pdf)
-        if len(ids) > MAX_POINTS:
-            raise ValueError(f"linkage takes at most {MAX_POINTS} points; got {len(ids)}")
-        return run(ids, d)
 
-    return distances.select("src", "dst", "distance").groupBy(F.lit(0).alias("one")).applyInPandas(lambda key, pdf: checked(pdf), schema)
+def _one_task(distances: DataFrame, run, schema: str) -> DataFrame:
+    """All pairs in one task; more than MAX_POINTS points are refused before any are gathered."""
+    refuse_more(distances.select("src").unionAll(distances.select("dst")), MAX_POINTS, "linkage")
+    pairs = distances.select("src", "dst", "distance").groupBy(F.lit(0).alias("one"))
+    return pairs.applyInPandas(lambda key, pdf: run(*_square(pdf)), schema)
 
 
 def linkage(distances: DataFrame, method: str = "complete") -> DataFrame:
@@ -341,12 +340,11 @@ def tree_layout(nodes: DataFrame, edges: DataFrame) -> list[tuple[int, int, floa
     return [(level, c, (k + 0.5) / len(own), -float(level)) for level, own in place.items() for c, k in own.items()]
 
 
-def spaced(positions: list[float], gap: float) -> list[float]:
-    """Positions moved right where they are closer than the gap to the one before."""
-    out: list[float] = []
-    heap = list(positions)
-    heapq.heapify(heap)
-    while heap:
-        x = heapq.heappop(heap)
-        out.append(max(x, out[-1] + gap) if out else x)
-    return out
+def spaced(rows: DataFrame, gap: float, keys: list[str], value: str = "x", tie: str = "id") -> DataFrame:
+    """rows with position: along each key, values moved up no more than needed to be a gap apart. The k-th value (from 0)
+    may not lie below the j-th plus (k - j) gaps for any j < k, so it is k gaps above the greatest value j less j gaps."""
+    order = Window.partitionBy(*keys).orderBy(value, tie)
+    step = (F.row_number().over(order) - 1) * gap
+    out = rows.withColumn("__step", step)
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    return out.withColumn("position", F.col("__step") + F.max(F.col(value) - F.col("__step")).over(upto)).drop("__step")

@@ -124,7 +124,9 @@ def knn(points: DataFrame, k: int, metric: str = "euclidean", p: float = 2.0, in
                             src = ids[r]
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(src), s, np.int32)), pa.array(src), pa.array(dst), pa.array(d)], ["split_id", "src", "dst", "distance"])
 
+        # written before the next block is read, so the driver holds one block at a time
         part = points.mapInArrow(run, schema)
+        part = cut(part, "block") if blocks > 1 else part
         parts = part if parts is None else parts.unionByName(part)
     if parts is None:
         parts = points.sparkSession.createDataFrame([], schema)

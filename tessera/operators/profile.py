@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,26 +55,22 @@ def centroids(positions: DataFrame, labels: DataFrame) -> DataFrame:
     return positions.join(labels, "id").groupBy("cluster").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
 
 
-def spread_names(places: list[tuple[str, float, float]], gap: float, rounds: int = 100) -> list[tuple[str, float, float]]:
-    """Names moved apart, pair by pair, until none are closer than the gap. Driver-side, a row a cluster."""
-    pts = [[x, y] for _, x, y in places]
+def spread_names(places: list[tuple[str, float, float]], gap: float, rounds: int = 200) -> list[tuple[str, float, float]]:
+    """Names pushed apart, all pairs at once, until no two are closer than the gap. Names in one place leave it in
+    directions of their own. Driver-side, a row a cluster."""
+    xy, n = np.array([p[1:] for p in places], float).reshape(-1, 2), len(places)
+    turn = np.pi * (3 - 5**0.5) * np.arange(n)
+    xy += 1e-9 * gap * np.stack([np.cos(turn), np.sin(turn)], axis=1)
     for _ in range(rounds):
-        moved = False
-        for i in range(len(pts)):
-            for j in range(i + 1, len(pts)):
-                dx, dy = pts[j][0] - pts[i][0], pts[j][1] - pts[i][1]
-                d = (dx * dx + dy * dy) ** 0.5
-                if d < gap:
-                    ux, uy = (dx / d, dy / d) if d else (1.0, 0.0)
-                    s = (gap - d) / 2
-                    pts[i][0] -= ux * s
-                    pts[i][1] -= uy * s
-                    pts[j][0] += ux * s
-                    pts[j][1] += uy * s
-                    moved = True
-        if not moved:
+        away = xy[:, None] - xy[None]
+        far = np.sqrt((away**2).sum(axis=2))
+        np.fill_diagonal(far, np.inf)
+        missing = np.maximum(gap - far, 0)
+        if not missing.any():
             break
-    return [(n, x, y) for (n, _, _), (x, y) in zip(places, pts, strict=True)]
+        # a little more than half of what is missing, so a pair alone is apart after one round
+        xy += (away * (missing / far * 0.51)[:, :, None]).sum(axis=1)
+    return [(name, float(x), float(y)) for (name, _, _), (x, y) in zip(places, xy, strict=True)]
 
 
 def cluster_counts(labels: DataFrame, keys: list[str]) -> DataFrame:
@@ -98,8 +95,10 @@ def mean_positions(order: DataFrame, levels: DataFrame) -> DataFrame:
     return levels.join(order, "id").groupBy("level", "cluster").agg(F.avg("position").alias("x"))
 
 
-def representatives(values: list[float], n: int) -> list[float]:
-    """n of the values at even steps, first and last included."""
-    if n >= len(values):
-        return values
-    return [values[round(i * (len(values) - 1) / max(n - 1, 1))] for i in range(n)]
+def representatives(rows: DataFrame, order: str, n: int) -> DataFrame:
+    """n of the rows at even steps in the order, first and last included; for tables of clusters or levels."""
+    place = F.row_number().over(Window.orderBy(order)) - 1
+    numbered = rows.withColumn("__place", place).withColumn("__last", F.count(F.lit(1)).over(Window.partitionBy()) - 1)
+    step = F.sequence(F.lit(0), F.lit(n - 1))
+    wanted = F.transform(step, lambda i: F.floor(i * F.col("__last") / max(n - 1, 1) + 0.5))
+    return numbered.where((F.col("__last") < n) | F.array_contains(wanted, F.col("__place").cast("long"))).drop("__place", "__last")

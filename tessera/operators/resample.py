@@ -120,9 +120,10 @@ class Resampler:
 
     def _each(self, points: DataFrame, fit: Callable, train: bool) -> DataFrame:
         self.split(points)
-        out = None
+        out, self.models = None, []
         for s in range(self.n_splits):
             model = fit(self.part(points, s), s)
+            self.models.append(model)
             got = model(self.part(points, s, train)).withColumn("split_id", F.lit(s))
             out = got if out is None else out.unionByName(got)
         return out

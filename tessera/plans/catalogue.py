@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.durable import cut
@@ -128,9 +128,14 @@ def knn_graph(spark, d):
     return _knn(spark, d)
 
 
-@query(f"WITH {knn_sql(14)} {_KNN}")
-def knn_graph_theta_join(spark, d):
-    return rounded(N.knn_by_sql(points(spark, d), 14).select("src", "dst", "rank", "distance"), "distance")
+_SIGNS = "p AS (SELECT vec_id AS id, list_transform(list_slice(CAST(embedding AS DOUBLE[]), 1, 3), lambda v: CASE WHEN v > 0 THEN 1::DOUBLE ELSE 0::DOUBLE END) AS x, label FROM embeddings)"
+
+
+@query(f"WITH {knn_sql(14).replace(P, _SIGNS)} {_KNN}")
+def knn_graph_ties(spark, d):
+    """Points with eight distinct vectors, so most places are ties, which the least ids take."""
+    signs = F.transform(F.slice("features", 1, 3), lambda v: F.when(v > 0, 1.0).otherwise(0.0))
+    return rounded(N.knn(points(spark, d).withColumn("features", signs), 14).select("src", "dst", "distance", "rank"), "distance")
 
 
 @query(f"WITH {knn_sql(14, include_self=True)} {_KNN}")
@@ -628,6 +633,93 @@ def multires_louvain(spark, d):
     return _multi(spark, d, "louvain").labels
 
 
+def _partition(labels: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n_points, n_twice (points with two clusters) and n_split (clusters that aren't connected by their own edges)."""
+    labels = cut(labels.select(*keys, "id", "cluster"), "labels")
+    counts = labels.groupBy(*keys).agg(F.count_distinct("id").alias("n_points"), (F.count(F.lit(1)) - F.count_distinct("id")).alias("n_twice"), F.count_distinct("cluster").alias("k"))
+    name = F.concat_ws("/", *[F.col(c).cast("string") for c in keys], "id")
+    node = labels.select(F.xxhash64(name).alias("node"), "id", "cluster", *keys)
+    a = node.select(*keys, F.col("id").alias("src"), F.col("cluster").alias("ca"), F.col("node").alias("a"))
+    b = node.select(*keys, F.col("id").alias("dst"), F.col("cluster").alias("cb"), F.col("node").alias("b"))
+    own = edges.select("src", "dst").join(a, "src").join(b, [*keys, "dst"]).where("ca = cb")
+    forest = H.single_linkage_forest(own.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(0.0).alias("distance")))
+    bonds = forest.join(node.select(F.col("node").alias("src"), *keys), "src").groupBy(*keys).agg(F.count(F.lit(1)).alias("bonds"))
+    out = counts.join(bonds, keys, "left") if keys else counts.join(bonds)
+    return out.select(*keys, "n_points", "n_twice", (F.col("n_points") - F.coalesce("bonds", F.lit(0)) - F.col("k")).alias("n_split"))
+
+
+_RUNS = "SELECT CAST(r AS INTEGER) AS res_id, CAST(q AS INTEGER) AS rep, (SELECT count(*) FROM embeddings) AS n_points, 0::BIGINT AS n_twice, 0::BIGINT AS n_split FROM range(2) a(r), range(2) b(q)"
+_WHOLE = "SELECT count(*) AS n_points, 0::BIGINT AS n_twice, 0::BIGINT AS n_split FROM embeddings"
+
+
+@query(_RUNS)
+def leiden_partition(spark, d):
+    """Every run gives each point one cluster, and Leiden's clusters are connected."""
+    return _partition(leiden(spark, d), weighted_edges(spark, d), ["res_id", "rep"])
+
+
+@query(_WHOLE)
+def leiden_cpm_partition(spark, d):
+    return _partition(leiden_cpm(spark, d), weighted_edges(spark, d), [])
+
+
+@query(_WHOLE)
+def leiden_rber_partition(spark, d):
+    return _partition(leiden_rber(spark, d), weighted_edges(spark, d), [])
+
+
+@query(_WHOLE)
+def leiden_surprise_partition(spark, d):
+    return _partition(leiden_surprise(spark, d), weighted_edges(spark, d), [])
+
+
+@query(f"SELECT res_id, rep, n_points, n_twice FROM ({_RUNS})")
+def louvain_partition(spark, d):
+    return _partition(louvain(spark, d), weighted_edges(spark, d), ["res_id", "rep"]).drop("n_split")
+
+
+@query("SELECT count(*) AS n_points, 0::BIGINT AS n_twice FROM embeddings")
+def louvain_distributed_partition(spark, d):
+    return _partition(louvain_distributed(spark, d), weighted_edges(spark, d), []).drop("n_split")
+
+
+@query("SELECT CAST(r AS INTEGER) AS res_id, (SELECT count(*) FROM embeddings) AS n_points, 0::BIGINT AS n_twice FROM range(3) a(r)")
+def multires_leiden_partition(spark, d):
+    return _partition(multires_leiden(spark, d), weighted_edges(spark, d), ["res_id"]).drop("n_split")
+
+
+@query("SELECT CAST(r AS INTEGER) AS res_id, (SELECT count(*) FROM embeddings) AS n_points, 0::BIGINT AS n_twice FROM range(3) a(r)")
+def multires_louvain_partition(spark, d):
+    return _partition(multires_louvain(spark, d), weighted_edges(spark, d), ["res_id"]).drop("n_split")
+
+
+@query("SELECT 1::BIGINT AS res_id, TRUE AS better")
+def leiden_modularity_gain(spark, d):
+    """At resolution 1 the objective is modularity, so the communities' modularity is above that of the given labels."""
+    edges = E.symmetrise(weighted_edges(spark, d))
+    base = CM.modularity(edges, truth(spark, d)).first()["modularity"]
+    own = leiden(spark, d).where("rep = 0 and res_id = 1").select("res_id", "id", "cluster")
+    return CM.clustering_metrics(edges, own, ["res_id"]).select(F.col("res_id").cast("bigint").alias("res_id"), (F.col("modularity") > base).alias("better"))
+
+
+@query(f"""WITH {P}, {CODES}, c AS (SELECT res_id, count(DISTINCT cluster) AS n FROM lab GROUP BY 1)
+    SELECT count(*) AS n_successful, min(n) AS min_clusters, max(n) AS max_clusters, string_agg(CAST(n AS VARCHAR), ',' ORDER BY res_id) AS n_clusters, round(min(1.0 / n), 6) AS min_consistency, round(max(1.0 / n), 6) AS max_consistency,
+      round(avg(1.0 / n), 6) AS mean_consistency, max(res_id) / 10 AS best_n_clusters, max(res_id) / 10 AS best_modularity, min(res_id) / 10 AS best_consistency, 0 AS n_failed FROM c""")
+def resolution_range_summary(spark, d):
+    """The summary of a range of resolutions, on tables whose values are known."""
+    m = codes(spark, d).groupBy("res_id").agg(F.count_distinct("cluster").alias("n_clusters"))
+    m = m.withColumn("resolution", F.col("res_id") / 10).withColumn("modularity", F.col("res_id") / 7)
+    out = MR.range_summary(m, m.select("res_id", (1 / F.col("n_clusters")).alias("mean")))
+    return rounded(out.withColumn("n_clusters", F.array_join("n_clusters", ",")), "min_consistency", "max_consistency", "mean_consistency")
+
+
+@query()
+def resolution_changes(spark, d):
+    """Resolutions at which the number of clusters changes, by bisection."""
+    found = MR.resolution_profile(E.symmetrise(weighted_edges(spark, d)), 0.2, 1.0, width=0.1)
+    return spark.createDataFrame([(x,) for x in found], "resolution double")
+
+
 @query()
 def resolution_summary(spark, d):
     return _multi(spark, d, "leiden").summary()
@@ -791,6 +883,42 @@ def linkage_average(spark, d):
     return rounded(H.linkage(_dense(spark, d), "average"), "distance")
 
 
+@query("SELECT count(*) - 1 AS n_merges, count(*) AS last_size, 0::BIGINT AS n_falling FROM embeddings")
+def linkage_average_merges(spark, d):
+    """Average linkage merges all points, one merge at a time, at heights that never fall."""
+    before = F.lag("distance").over(Window.orderBy("step"))
+    rows = H.linkage(_dense(spark, d), "average").withColumn("before", before)
+    return rows.agg(F.count(F.lit(1)).alias("n_merges"), F.max("size").alias("last_size"), F.count_if(F.col("distance") < F.col("before") - 1e-9).alias("n_falling"))
+
+
+@query("SELECT CAST(l AS INTEGER) AS level, count(*) AS n_points, 1::BIGINT << l AS asked FROM embeddings, range(3) t(l) GROUP BY l")
+def linkage_cut_levels(spark, d):
+    """The levels with 1, 2 and 4 clusters: every point has one cluster, and no level has more clusters than asked for."""
+    rows = H.hierarchical(_dense(spark, d), "average", "powers_of_2", 2).groupBy("level").agg(F.count_distinct("id").alias("n_points"), F.count_distinct("cluster").alias("k"))
+    asked = F.expr("shiftleft(1L, level)")
+    return rows.where(F.col("k") <= asked).select("level", "n_points", asked.alias("asked"))
+
+
+@query(f"""WITH RECURSIVE {knn_sql(5)}, g AS (SELECT src, dst FROM knn UNION SELECT dst, src FROM knn), r AS (SELECT id AS a, id AS b FROM p UNION SELECT r.a, g.dst FROM r JOIN g ON g.src = r.b), c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
+    SELECT count(*) - count(DISTINCT c) AS n_edges, count(*) - count(DISTINCT c) AS n_joined FROM c""")
+def single_linkage_forest_size(spark, d):
+    """A spanning forest has an edge less than points in each component."""
+    f = cut(single_linkage_forest(spark, d), "forest")
+    n = H.single_linkage_forest(f).agg(F.count(F.lit(1)).alias("n_joined"))
+    return f.agg(F.count(F.lit(1)).alias("n_edges")).join(n)
+
+
+@query(f"WITH {P}, r AS (SELECT label, id, x[1] AS v, row_number() OVER (PARTITION BY label ORDER BY x[1], id) - 1 AS k FROM p) SELECT label, id, round(k * 0.05 + max(v - k * 0.05) OVER (PARTITION BY label ORDER BY k), 6) AS position FROM r")
+def spaced_positions(spark, d):
+    rows = points(spark, d).join(truth(spark, d), "id").select("id", F.col("cluster").alias("label"), F.col("features")[0].alias("x"))
+    return rounded(H.spaced(rows, 0.05, ["label"]).select("label", "id", "position"), "position")
+
+
+@query(f"WITH {P}, r AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS k, count(*) OVER () - 1 AS m FROM (SELECT DISTINCT label FROM p)) SELECT label FROM r WHERE m < 3 OR k IN (SELECT CAST(floor(i * m / 2 + 0.5) AS BIGINT) FROM range(3) t(i))")
+def even_picks(spark, d):
+    return PF.representatives(truth(spark, d).select(F.col("cluster").alias("label")).distinct(), "label", 3)
+
+
 @query()
 def linkage_cut(spark, d):
     return H.hierarchical(_dense(spark, d), "average", "powers_of_2")
@@ -896,6 +1024,33 @@ def thin_negbin(spark, d):
     return TH.negative_binomial_split(counts(spark, d))
 
 
+def _thinned(t: DataFrame) -> DataFrame:
+    bad = (F.col("train") < 0) | (F.col("test") < 0) | (F.col("train") + F.col("test") != F.col("count"))
+    return t.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("train") + F.col("test")).alias("total"), F.count_if(bad).alias("wrong"))
+
+
+@query("SELECT count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS total, 0::BIGINT AS wrong FROM lineitem")
+def thin_negbin_totals(spark, d):
+    return _thinned(TH.negative_binomial_split(counts(spark, d)))
+
+
+@query(f"WITH {P}, {TRAIN} SELECT split_id, count(*) AS n, 3 AS dims, 0::BIGINT AS off_centre FROM s WHERE is_train GROUP BY split_id")
+def bootstrap_pca_parts(spark, d):
+    """Each split's training part has its own components, which are centred on it."""
+    parts, _ = DE.bootstrap_pca(points(spark, d), 3, SPLITS)
+    means = [F.abs(F.avg(F.col("features")[i])) for i in range(3)]
+    out = parts.groupBy("split_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("dims"), F.greatest(*means).alias("off"))
+    return out.select("split_id", "n", "dims", (F.col("off") > 1e-6).cast("bigint").alias("off_centre"))
+
+
+@query("SELECT count(DISTINCT l_orderkey * 10 + l_linenumber) AS n, CAST(sum(l_quantity) AS BIGINT) AS total FROM lineitem")
+def de_split_layers(spark, d):
+    """Both layers of a split dataset add up to its counts."""
+    t = TH.poisson_split(counts(spark, d))
+    both = t.select("id", F.col("train").alias("n")).unionByName(t.select("id", F.col("test").alias("n")))
+    return both.agg(F.count_distinct("id").alias("n"), F.sum("n").alias("total"))
+
+
 @query("SELECT count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS total, 0::BIGINT AS wrong FROM lineitem")
 def thin_poisson_totals(spark, d):
     t = TH.poisson_split(counts(spark, d))
@@ -986,6 +1141,20 @@ def pp_coassociation(spark, d):
     return rounded(pp.coassociation_matrix(dataset(spark, d), 3, use_rep="X").obsp["coassociation_connectivities"], "weight")
 
 
+@query("SELECT count(*) AS n_points, 0::BIGINT AS n_twice FROM embeddings")
+def tl_louvain_partition(spark, d):
+    data = tl.louvain(dataset(spark, d), 0.5, adjacency=E.symmetrise(weighted_edges(spark, d)))
+    return _partition(data.obs.select("id", F.col("louvain").alias("cluster")).where("cluster is not null"), weighted_edges(spark, d), []).drop("n_split")
+
+
+@query("SELECT count(*) AS n_points, 2::BIGINT AS n_resolutions FROM embeddings")
+def tl_multiresolution_leiden_columns(spark, d):
+    data = tl.multiresolution_leiden(dataset(spark, d), [0.5, 1.0], adjacency=E.symmetrise(weighted_edges(spark, d)), n_repetitions=2)
+    own = [c for c in data.obs.columns if c.startswith("leiden_")]
+    whole = data.obs.where(" and ".join(f"`{c}` is not null" for c in own))
+    return whole.agg(F.count(F.lit(1)).alias("n_points")).withColumn("n_resolutions", F.lit(len(own)).cast("bigint"))
+
+
 @query()
 def tl_leiden(spark, d):
     data = dataset(spark, d)

@@ -194,6 +194,10 @@ def test_linkage_matches_definition():
         assert m[0, 2] == 0.5 and m[-1, 2] == top and m[-1, 3] == 5
     assert H.cut_into(H.linkage_matrix(d, "average"), 5, 2).tolist() == [1, 1, 1, 2, 2]
     assert [int(c.max()) for c in H.level_cuts(H.linkage_matrix(d, "average"), 5, "powers_of_2")] == [1, 2, 4]
+    assert [int(c.max()) for c in H.level_cuts(H.linkage_matrix(d, "average"), 5, "linear")] == [1, 2, 3, 4, 5]
+    assert [int(c.max()) for c in H.level_cuts(H.linkage_matrix(d, "average"), 5, "linear", 2)] == [1, 2, 3]
+    tied = np.ones((5, 5)) - np.eye(5)
+    assert [int(c.max()) for c in H.level_cuts(H.linkage_matrix(tied, "average"), 5, "powers_of_2")] == [1, 1]
     assert sorted(H.leaf_order(H.linkage_matrix(d, "average"), 5).tolist()) == [0, 1, 2, 3, 4]
 
 
@@ -258,7 +262,25 @@ def test_dotplot_and_blocks(spark):
     order = frame(spark, [(i, i) for i in range(5)], "id bigint, position int")
     lev = labels(spark, [[1, 1, 2, 1, 2]], [0], "level")
     assert PF.bar_blocks(order, lev).count() == 4
-    assert PF.representatives([1, 2, 3, 4, 5], 3) == [1, 3, 5]
-    assert H.spaced([0.0, 0.1, 5.0], 1.0) == [0.0, 1.0, 5.0]
+    picked = PF.representatives(frame(spark, [(i,) for i in range(1, 6)], "v int"), "v", 3)
+    assert sorted(r["v"] for r in picked.collect()) == [1, 3, 5]
+    at = H.spaced(frame(spark, [("a", 1, 0.0), ("a", 2, 0.1), ("a", 3, 5.0)], "k string, id int, x double"), 1.0, ["k"])
+    assert sorted(r["position"] for r in at.collect()) == [0.0, 1.0, 5.0]
+    names = PF.spread_names([("a", 0.0, 0.0), ("b", 0.0, 0.0), ("c", 0.5, 0.0), ("d", 9.0, 9.0)], 1.0)
+    spots = np.array([p[1:] for p in names])
+    away = np.sqrt(((spots[:, None] - spots[None]) ** 2).sum(2))
+    assert (away[np.triu_indices(4, 1)] > 1 - 1e-6).all() and names[3] == pytest.approx(("d", 9.0, 9.0), abs=1e-6)
+
+
+def test_linkage_and_layout_refuse_before_they_gather(spark, monkeypatch):
+    from tessera.operators import decompose as DE
+
+    monkeypatch.setattr(H, "MAX_POINTS", 2)
+    monkeypatch.setattr(DE, "MAX_LAYOUT", 2)
+    d = frame(spark, [(0, 1, 1.0), (1, 2, 1.0), (0, 2, 2.0)], "src bigint, dst bigint, distance double")
+    with pytest.raises(ValueError, match="at most 2"):
+        H.linkage(d)
+    with pytest.raises(ValueError, match="at most 2"):
+        DE.tsne(frame(spark, [(i, [0.0, 1.0]) for i in range(3)], "id bigint, features array<double>"))
 
 
