@@ -1,8 +1,8 @@
 """Exact deduplication with a log-structured merge index, in DataFrame operations only.
 
 Each scan partition is a memtable: its (digest, id) rows are sorted and flushed into one of a few level-0 runs, which
-are Parquet tables whose digest column carries Bloom filters. Compaction merges the runs by digest and keeps one
-identifier of each. The digests that occur twice or more make a second, size-bounded filter; documents that hit it get
+are Parquet tables whose digest column carries Bloom filters, by which find() leaves row groups unread. Compaction merges
+the runs by digest, all in one level, and keeps one identifier of each. The digests that occur twice or more make a second, size-bounded filter; documents that hit it get
 their bytes verified: of each digest the smallest and the largest text must be the same bytes. Digests that fail are
 split by their text, so even colliding digests give right groups.
 
@@ -13,6 +13,8 @@ has no other. An empty table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,6 +65,13 @@ class MergeIndex:
         self.level1 = self.level0.groupBy("digest").agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         return self.level1
 
+    def find(self, texts: list[str]) -> DataFrame:
+        """The rows (digest, id, run) of a few texts. Their digests go down to the runs, whose sorted row groups and Bloom
+        filters leave most of them unread."""
+        fold = str.maketrans(UPPER, LOWER)
+        digests = [hashlib.sha256(t.translate(fold).encode()).digest()[: self.bits // 8] for t in texts]
+        return self.level0.where(F.col("digest").isin(digests) if digests else F.lit(False))
+
     def verify(self) -> DataFrame:
         """Digests shared by different texts. Texts are read for the hits of the filter only, and each task passes on
         two texts a digest at most, so a group of any size meets in one small aggregate."""

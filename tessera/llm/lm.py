@@ -23,6 +23,8 @@ are ignored.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -249,9 +251,20 @@ def baum_welch(encoded: DataFrame, model: Hmm, mass: np.ndarray, symbols: int, r
     return model
 
 
-def score(docs: DataFrame, train: Column, states: int = 8, symbols: int = 1 << 14, rounds: int = 3, stretch: int = 128, prior: float = 50.0, id_col: str = "doc_id", text_col: str = "text", also: dict[str, Column] | None = None) -> DataFrame:
-    """id, the columns of also, n_tokens, n_known, train_tokens, base_score and score, for every row of docs."""
-    spark = docs.sparkSession
+@dataclass
+class Trained:
+    """The model, the mass of each class (add-half smoothed counts), the counts of all words as a table, and the numbers of
+    training tokens, their types, and training texts."""
+
+    model: Hmm
+    mass: np.ndarray
+    counts: DataFrame
+    tokens: int
+    types: int
+    texts: int
+
+
+def fit(docs: DataFrame, train: Column, states: int = 8, symbols: int = 1 << 14, rounds: int = 3, stretch: int = 128, prior: float = 50.0, text_col: str = "text") -> Trained:
     encoded = materialise(encode(docs, train, symbols, text_col), "encoded")
     counts = materialise(word_counts(encoded), "counts")
     symbol = F.col("word").bitwiseAND(symbols - 1)
@@ -273,7 +286,14 @@ def score(docs: DataFrame, train: Column, states: int = 8, symbols: int = 1 << 1
         part = np.frombuffer(r["a"], np.uint16)
         seeds += [x for x in np.split(part, ends[:-1])[:64] if len(x) >= 20] if len(ends) else []
     model = baum_welch(encoded, Hmm.seeded(seeds, mass, states), mass, symbols, rounds, stretch, prior)
+    return Trained(model, mass, counts, tokens, types, texts)
+
 
+def score(docs: DataFrame, train: Column, states: int = 8, symbols: int = 1 << 14, rounds: int = 3, stretch: int = 128, prior: float = 50.0, id_col: str = "doc_id", text_col: str = "text", also: dict[str, Column] | None = None) -> DataFrame:
+    """id, the columns of also, n_tokens, n_known, train_tokens, base_score and score, for every row of docs."""
+    spark = docs.sparkSession
+    found = fit(docs, train, states, symbols, rounds, stretch, prior, text_col)
+    model, mass, counts, tokens, types, texts = found.model, found.mass, found.counts, found.tokens, found.types, found.texts
     buckets = max(partitions(spark), -(-text_bytes(docs, text_col) // BUCKET_BYTES))
     bucket = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(buckets)).cast("int")
     extra = list(also or {})
