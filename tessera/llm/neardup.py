@@ -230,12 +230,20 @@ def _near(sig: np.ndarray, n: np.ndarray, threshold: int) -> tuple[np.ndarray, n
     return agree, near
 
 
+def _near_twos(sig: np.ndarray, n: np.ndarray, a: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the regions of two that begin at a, those whose pair is a candidate, and the pairs' agreements."""
+    agree = (sig[a] == sig[a + 1]).sum(axis=1)
+    near = (agree >= (threshold / 100 - SLACK) * VALUES) & (100 * np.minimum(n[a], n[a + 1]) >= threshold * np.maximum(n[a], n[a + 1]))
+    return a[near], agree[near]
+
+
 def _choices(table: pa.Table, threshold: int) -> pa.Table:
     """For each class of many regions its nearest and its most central candidate: u, v, w, agree, centre."""
     (_, node, n), order, edge, size = _by_region(table, ("node", "n"))
     sig = _signatures(table)[order]
-    out: list[tuple] = [(node[:0], node[:0], node[:0], node[:0], node[:0])]
-    for a, m in zip(edge.tolist(), size.tolist(), strict=True):
+    a, agree = _near_twos(sig, n, edge[size == 2], threshold)
+    out: list[tuple] = [(node[a + i], node[a + 1 - i], node[a + 1 - i], agree, agree * 500) for i in (0, 1)]
+    for a, m in zip(edge[size > 2].tolist(), size[size > 2].tolist(), strict=True):
         own = slice(a, a + m)
         agree, near = _near(sig[own], n[own], threshold)
         i = np.flatnonzero(near.any(axis=1))
@@ -252,7 +260,11 @@ def _open_members(table: pa.Table, threshold: int) -> pa.Table:
     (region, node, n, label, best, middle), order, edge, size = _by_region(table, ("node", "n", "label", "best", "middle"))
     sig = _signatures(table)[order]
     out = np.zeros(len(node), bool)
-    for a, m in zip(edge.tolist(), size.tolist(), strict=True):
+    a, _ = _near_twos(sig, n, edge[size == 2], threshold)
+    known = (best[a] == node[a + 1]) | (middle[a] == node[a + 1]) | (best[a + 1] == node[a]) | (middle[a + 1] == node[a])
+    a = a[~known & (label[a] != label[a + 1])]
+    out[a] = out[a + 1] = True
+    for a, m in zip(edge[size > 2].tolist(), size[size > 2].tolist(), strict=True):
         own = slice(a, a + m)
         if (label[own] != label[a]).any():
             _, near = _near(sig[own], n[own], threshold)
