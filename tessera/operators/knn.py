@@ -61,10 +61,10 @@ def _candidates(d: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, metric: str
         return (d - slack <= last) & (d < np.inf)
 
 
-def _best(x, ids, y, own, k, metric, p, include_self):
-    """(row, id, distance) of the k nearest by (distance, id); the block product finds all that can be among them, and
-    exactly computed distances rank these."""
-    d = D.block(x, y, metric, p)
+def _best(x, ids, y, own, k, metric, p, include_self, d=None):
+    """(row, id, distance) of the k nearest by (distance, id); the block product d (which is written to) finds all that can
+    be among them, and exactly computed distances rank these."""
+    d = D.block(x, y, metric, p) if d is None else d
     if not include_self:
         d[ids[:, None] == own[None, :]] = np.inf
     found = _candidates(d, x, y, k, metric, p)
@@ -112,12 +112,13 @@ def knn(points: DataFrame, k: int, metric: str = "euclidean", p: float = 2.0, in
                 for a in range(0, batch.num_rows, 1024):
                     part = batch.slice(a, 1024)
                     ids, x = np.asarray(part.column(0), np.int64), _matrix(part.column(1))
+                    whole = D.block(x, y, metric, p) if n_splits else None  # one product for all splits
                     for s, theirs in enumerate(chosen):
                         if n_splits:
                             mine = (np.asarray(part.column(2), np.int64) >> s) & 1 == 1
                             if not mine.any() or not len(theirs):
                                 continue
-                            r, dst, d = _best(x[mine], ids[mine], y[theirs], own[theirs], k, metric, p, include_self)
+                            r, dst, d = _best(x[mine], ids[mine], y[theirs], own[theirs], k, metric, p, include_self, whole[np.ix_(mine, theirs)])
                             src = ids[mine][r]
                         else:
                             r, dst, d = _best(x, ids, y[theirs], own[theirs], k, metric, p, include_self)
