@@ -292,7 +292,7 @@ def _ranked(pieces: DataFrame, cell_rows: int) -> DataFrame:
     return pieces.join(sums, ["length", "cell"]).withColumn("rank", F.col("first") + F.row_number().over(within) - 1).drop("first", "cell")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", cell_rows: int = 20_000, nodes: int = 3000, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", cell_rows: int = 2_000, nodes: int = 3000, with_ids: bool = False) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and with_ids the ids."""
     pieces = tokenise(docs, tokenizer, capacity, end_id, id_col, text_col, with_ids)
     pieces = materialise(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
