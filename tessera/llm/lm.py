@@ -33,8 +33,11 @@ from pyspark.sql import functions as F
 from tessera.llm import kernels as K
 from tessera.llm.common import materialise, partitions, text_bytes
 
-BUCKET_BYTES = 16 << 20
-PIECE_TOKENS = 1 << 19
+BUCKET_BYTES = 12 << 20
+#: Tokens that a step of training takes at once, with about 200 bytes each, and that a scoring recursion takes at once.
+PIECE_TOKENS, SCORED_TOKENS = 1 << 18, 1 << 18
+#: New words after which a task sums up its counts, and distinct words that it holds before it passes them on.
+FRESH_WORDS, HELD_WORDS = 1 << 19, 1 << 20
 
 
 def hashed_words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +153,7 @@ def _with_ends(symbols: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarra
 
 def encode(docs: DataFrame, train: Column, symbols: int, text_col: str) -> DataFrame:
     """One pass over the texts. Rows of kind 0: a chunk's training texts as symbols (two bytes each) with their lengths.
-    Rows of kind 1: a task's distinct training words with their counts."""
+    Rows of kind 1: distinct training words with their counts, which a task passes on at the end or when they are many."""
 
     def run(batches):
         held: list[np.ndarray] = []
@@ -161,6 +164,12 @@ def encode(docs: DataFrame, train: Column, symbols: int, text_col: str) -> DataF
             w, where = np.unique(w, return_inverse=True)
             held[:], counts[:] = [w], [np.bincount(where, n, len(w)).astype(np.int64)]
 
+        def counted():
+            for i in range(0, len(held[0]), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array([1]), pa.array([held[0][i : i + (1 << 17)].tobytes()], pa.binary()), pa.array([counts[0][i : i + (1 << 17)].tobytes()], pa.binary())], ["kind", "a", "b"])
+            held.clear(), counts.clear()
+
+        fresh = 0
         for batch in batches:
             for part, buf, off in K.chunks(batch, "text"):
                 word, at = hashed_words(buf, off)
@@ -168,14 +177,17 @@ def encode(docs: DataFrame, train: Column, symbols: int, text_col: str) -> DataF
                 word = word[np.repeat(use, np.diff(at))]
                 held.append(word)
                 counts.append(np.ones(len(word), np.int64))
-                if sum(map(len, held)) > 4_000_000:
+                fresh += len(word)
+                if fresh > FRESH_WORDS:
+                    fresh = 0
                     merge()
+                    if len(held[0]) > HELD_WORDS:
+                        yield from counted()
                 lengths = np.diff(at)[use].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([(word & np.uint64(symbols - 1)).astype(np.uint16).tobytes()], pa.binary()), pa.array([lengths.tobytes()], pa.binary())], ["kind", "a", "b"])
         if held:
             merge()
-            for i in range(0, len(held[0]), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array([1]), pa.array([held[0][i : i + (1 << 17)].tobytes()], pa.binary()), pa.array([counts[0][i : i + (1 << 17)].tobytes()], pa.binary())], ["kind", "a", "b"])
+            yield from counted()
 
     rows = docs.select(F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     return rows.mapInArrow(run, "kind long, a binary, b binary")
@@ -300,10 +312,10 @@ def score(docs: DataFrame, train: Column, states: int = 8, symbols: int = 1 << 1
     texts_by = docs.select(bucket.alias("bucket"), F.col(id_col), *[c.alias(n) for n, c in (also or {}).items()], F.col(text_col).alias("text"))
 
     def ask(table: pa.Table) -> pa.Table:
-        found = np.zeros(0, np.uint64)
+        held = [np.zeros(0, np.uint64)]
         for batch in table.to_batches():
-            for _, buf, off in K.chunks(batch, "text"):
-                found = np.union1d(found, hashed_words(buf, off)[0])
+            held += [np.unique(hashed_words(buf, off)[0]) for _, buf, off in K.chunks(batch, "text")]
+        found = np.unique(np.concatenate(held))
         return pa.table({"bucket": pa.array(np.full(len(found), table.column("bucket")[0].as_py(), np.int32)), "word": pa.array(found.view(np.int64))})
 
     asked = texts_by.groupBy("bucket").applyInArrow(ask, "bucket int, word long")
@@ -317,7 +329,15 @@ def score(docs: DataFrame, train: Column, states: int = 8, symbols: int = 1 << 1
         known, n = np.asarray(right.column("word").combine_chunks(), np.int64).view(np.uint64), np.asarray(right.column("n").combine_chunks(), np.int64)
         order = np.argsort(known)
         known, n = np.append(known[order], np.uint64(0)), np.append(n[order], 0)
-        out: list[list] = [[] for _ in range(4)]
+        out: list[list] = [[] for _ in range(5)]
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def recursion() -> None:
+            ends = np.cumsum([0, *(at[-1] for _, at in waiting)])
+            at = np.concatenate([[0], *(at[1:] + e for (_, at), e in zip(waiting, ends, strict=False))])
+            out[4].append(hmm.log10_likelihood(*_with_ends(np.concatenate([s for s, _ in waiting]), at, symbols)))
+            waiting.clear()
+
         for batch in left.to_batches():
             for _, buf, off in K.chunks(batch, "text"):
                 word, at = hashed_words(buf, off)
@@ -331,10 +351,15 @@ def score(docs: DataFrame, train: Column, states: int = 8, symbols: int = 1 << 1
                 out[0].append(np.diff(at) + 1)
                 out[1].append(K.segment_sum((c > 0).astype(np.int64), at) + has)
                 out[2].append(base)
-                out[3].append(own + hmm.log10_likelihood(*_with_ends(part, at, symbols)))
+                out[3].append(own)
+                waiting.append((part.astype(np.uint16), at))
+                if sum(len(s) for s, _ in waiting) > SCORED_TOKENS:
+                    recursion()
+        if waiting:
+            recursion()
         cols = [np.concatenate(x) for x in out]
         names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        values = [cols[0], cols[1], np.full(len(cols[0]), tokens), cols[2], cols[3]]
+        values = [cols[0], cols[1], np.full(len(cols[0]), tokens), cols[2], cols[3] + cols[4]]
         return pa.table([*[left.column(c) for c in kept], *map(pa.array, values)], names=[*kept, *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts_by.schema.fields[1:-1])
