@@ -180,8 +180,9 @@ def binary_information(n11: Column, a: Column, b: Column, n: Column) -> Column:
 
 
 def partition_match(target: DataFrame, levels: DataFrame, metric: str = "jaccard") -> DataFrame:
-    """For each target cluster the best (level, cluster) by ari, ami, nmi or jaccard of the two as sets; the first in
-    order of level and cluster wins a tie. levels is labels with a level column."""
+    """For each target cluster the best (level, cluster) by ari, ami, nmi or jaccard of the two as sets; of scores that
+    agree to nine places, as those of a set and its complement, the first in order of level and cluster wins. levels is
+    labels with a level column."""
     metric = require_choice(metric, "ari", "ami", "nmi", "jaccard")
     inter = target.select("id", F.col("cluster").alias("target")).join(levels.select("id", "level", "cluster"), "id")
     inter = inter.groupBy("target", "level", "cluster").agg(F.count(F.lit(1)).cast("double").alias("n11"))
@@ -195,7 +196,7 @@ def partition_match(target: DataFrame, levels: DataFrame, metric: str = "jaccard
     else:
         score = binary_information(*c) if metric == "nmi" else binary_agreement(*c, metric)
     pairs = pairs.withColumn("score", score)
-    best = Window.partitionBy("target").orderBy(F.desc("score"), "level", "cluster")
+    best = Window.partitionBy("target").orderBy(F.desc(F.round("score", 9)), "level", "cluster")
     out = pairs.withColumn("__r", F.row_number().over(best)).where("__r = 1")
     return out.select("target", "level", "cluster", "score", F.col("a").cast("bigint").alias("n_cells"))
 

@@ -182,6 +182,31 @@ def umap_layout(edges: DataFrame, dims: int = 2, epochs: int = 200, seed: int =
     return _layout(edges.select("src", "dst", "weight"), run, "id bigint, position array<double>")
 
 
+def _by_neighbours(new: DataFrame, known: DataFrame, values: DataFrame, k: int, metric: str) -> DataFrame:
+    """id, value: the mean of the values (arrays) of a new point's nearest known points, weighted by local probability."""
+    from tessera.operators.fuzzy import local_probabilities
+    from tessera.operators.knn import knn
+
+    near = knn(known, k - 1, metric, queries=new).select("src", "dst", F.col("distance").alias("weight"))
+    rows = local_probabilities(near, k).join(values.select(F.col("id").alias("dst"), "value"), "dst")
+    rows = rows.select(F.col("src").alias("id"), "weight", F.posexplode("value").alias("place", "v"))
+    means = rows.groupBy("id", "place").agg((F.sum(F.col("weight") * F.col("v")) / F.sum("weight")).alias("v"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("place", "v"))), lambda x: x["v"])
+    return means.groupBy("id").agg(listed.alias("value"))
+
+
+def umap_transform(new: DataFrame, known: DataFrame, layout: DataFrame, k: int = 15, metric: str = "euclidean") -> DataFrame:
+    """id, position of new points in the layout(id, position) of known ones: where the optimisation of a layout starts a
+    point, without its random steps. k counts the point itself."""
+    return _by_neighbours(new, known, layout.select("id", F.col("position").alias("value")), k, metric).withColumnRenamed("value", "position")
+
+
+def umap_inverse(places: DataFrame, layout: DataFrame, known: DataFrame, k: int = 15) -> DataFrame:
+    """id, features of places(id, position) in a layout: the same with layout and features in each other's part."""
+    at = lambda df: df.select("id", F.col("position").alias("features"))
+    return _by_neighbours(at(places), at(layout), known.select("id", F.col("features").alias("value")), k, "euclidean").withColumnRenamed("value", "features")
+
+
 def tsne(points: DataFrame, dims: int = 2, perplexity: float = 30.0, epochs: int = 300, seed: int = 0) -> DataFrame:
     """id, position by exact t-SNE in one task of at most MAX_LAYOUT points. There is no transform for new points."""
 

@@ -340,6 +340,13 @@ def tree_layout(nodes: DataFrame, edges: DataFrame) -> list[tuple[int, int, floa
     return [(level, c, (k + 0.5) / len(own), -float(level)) for level, own in place.items() for c, k in own.items()]
 
 
+def grid_layout(nodes: DataFrame) -> DataFrame:
+    """level, cluster, x, y: each level a row, its clusters evenly spread in order of their numbers."""
+    own = Window.partitionBy("level")
+    x = (F.row_number().over(own.orderBy("cluster")) - 0.5) / F.count(F.lit(1)).over(own)
+    return nodes.select("level", "cluster", x.alias("x"), (-F.col("level").cast("double")).alias("y"))
+
+
 def spaced(rows: DataFrame, gap: float, keys: list[str], value: str = "x", tie: str = "id") -> DataFrame:
     """rows with position: along each key, values moved up no more than needed to be a gap apart. The k-th value (from 0)
     may not lie below the j-th plus (k - j) gaps for any j < k, so it is k gaps above the greatest value j less j gaps."""

@@ -82,14 +82,16 @@ def _best(x, ids, y, own, k, metric, p, include_self, d=None):
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), own[:0], np.zeros(0))
 
 
-def knn(points: DataFrame, k: int, metric: str = "euclidean", p: float = 2.0, include_self: bool = False, n_splits: int = 0, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def knn(points: DataFrame, k: int, metric: str = "euclidean", p: float = 2.0, include_self: bool = False, n_splits: int = 0, block_rows: int = BLOCK_ROWS, queries: DataFrame | None = None) -> DataFrame:
     """edges(src, dst, distance, rank): the k nearest points by (distance, id). With include_self a point counts as its
     own neighbour, as a graph of the fitted points themselves has it. With n_splits the points carry `mask`, whose bit s
-    is set if the point takes part in split s, and the result has split_id: neighbours within each split."""
+    is set if the point takes part in split s, and the result has split_id: neighbours within each split. With queries, another
+    table of points, src is a query; a query and a point of one id are the same point."""
     require_columns(points, "id", "features", *(["mask"] if n_splits else []))
     metric = D.metric_name(metric)
     columns = ["id", "features"] + ["mask"] * bool(n_splits)
     points = cut(points.select(*columns).where("features is not null"), "points")
+    asked = points if queries is None else cut(queries.select(*columns).where("features is not null"), "queries")
     blocks = max(1, -(-points.count() // block_rows))
     schema = "split_id int, src bigint, dst bigint, distance double"
     parts = None
@@ -126,7 +128,7 @@ def knn(points: DataFrame, k: int, metric: str = "euclidean", p: float = 2.0, in
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(src), s, np.int32)), pa.array(src), pa.array(dst), pa.array(d)], ["split_id", "src", "dst", "distance"])
 
         # written before the next block is read, so the driver holds one block at a time
-        part = points.mapInArrow(run, schema)
+        part = asked.mapInArrow(run, schema)
         part = cut(part, "block") if blocks > 1 else part
         parts = part if parts is None else parts.unionByName(part)
     if parts is None:

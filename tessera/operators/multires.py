@@ -7,6 +7,7 @@ import warnings
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.annotate import annotate_hierarchical, predict_vote
 from tessera.operators.community import clustering_metrics, communities, louvain_scale
 from tessera.operators.contingency import consistency
 from tessera.operators.tracks import cluster_tracks, confidence, final_labels, track_consistency
@@ -107,10 +108,42 @@ class MultiresolutionClustering:
         rows = self.metrics.join(self.consistency.select("res_id", F.col("mean").alias("consistency")), "res_id", "left")
         return best_resolution(rows, metric)
 
+    def _keyed(self) -> tuple[DataFrame, DataFrame]:
+        own = lambda df: df.withColumn("res_key", F.col("res_id").cast("string")).drop("res_id")
+        return own(self.labels), own(self.confidence)
+
+    def predict_proba(self, rules: DataFrame, normalise: bool = True) -> DataFrame:
+        """annot(id, class, p) by rules(res_key, cluster, label), res_key being a res_id: votes weigh as much as the point's
+        confidence in that resolution, and the unassigned class has what is missing to 1."""
+        labels, weights = self._keyed()
+        return annotate_hierarchical(labels, rules, weights, normalise=normalise)
+
+    def predict(self, rules: DataFrame) -> DataFrame:
+        """id, label: the class of greatest weight under the same votes."""
+        labels, weights = self._keyed()
+        return predict_vote(labels, rules, weights)
+
+    def consistency_summary(self) -> DataFrame:
+        return consistency_summary(self.runs, self.metric, ["res_id"])
+
     def summary(self) -> DataFrame:
         return range_summary(self.metrics, self.consistency, self.failures)
 
 
+def consistency_summary(runs: DataFrame, metric: str = "ari", by: list[str] | None = None) -> DataFrame:
+    """by, n_repetitions, consistency_metric, mean, std, scores of all pairs of repetitions, and clusters: an array with one
+    struct a track, in order of its number. One row for each labeling that was repeated."""
+    by = by or []
+    per = track_consistency(runs, cluster_tracks(runs, keys=by or None), by or None)
+    fields = [c for c in per.columns if c not in by]
+    clusters = F.sort_array(F.collect_list(F.struct("track_id", *[c for c in fields if c != "track_id"]))).alias("clusters")
+    parts = [runs.groupBy(*by).agg(F.count_distinct("rep").alias("n_repetitions")), consistency(runs, metric, by=by or None), per.groupBy(*by).agg(clusters)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, by) if by else out.join(p)  # a row each
+    return out.select(*by, "n_repetitions", F.lit(metric).alias("consistency_metric"), "mean", "std", "scores", "clusters")
+
+
 def best_resolution(metrics: DataFrame, metric: str) -> float:
     return metrics.where(F.col(metric).isNotNull()).agg(F.max_by("resolution", F.struct(F.col(metric), -F.col("resolution")))).first()[0]
 

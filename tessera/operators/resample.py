@@ -141,5 +141,68 @@ def sample_partitions(spark: SparkSession, counts: dict[str, int], n_splits: int
     return out
 
 
+class MultiResampler:
+    """Samples drawn from several resampled steps, each given as (name, Resampler, fit). The samples are dealt evenly, and
+    each takes one partition (a row split and, if there are any, a column split) of its step, chosen by a hash. Step i
+    splits rows with seed + i and columns with 1,000 more. Only partitions that a sample takes are fitted."""
+
+    def __init__(self, *steps: tuple[str, Resampler, Callable], n_samples: int = 100, seed: int = 0):
+        if not steps:
+            raise ValueError("at least one step")
+        if len({name for name, _, _ in steps}) < len(steps):
+            raise ValueError("steps need names of their own")
+        self.steps, self.n_samples, self.seed = steps, n_samples, seed
+        self.counts = distribute_samples(n_samples, [name for name, _, _ in steps])
+        self._samples: DataFrame | None = None
+
+    def fit(self, points: DataFrame) -> MultiResampler:
+        spark, drawn, self._parts = points.sparkSession, [], []
+        for i, (name, form, fit) in enumerate(self.steps):
+            own = Resampler(form.n_splits, form.train, self.seed + i, form.feature_train, form.n_feature_splits)
+            own.split(points)
+            table = {r["partition_id"]: r for r in own.partitions().collect()}  # at most row splits x column splits
+            taken = sample_partitions(spark, {name: self.counts[name]}, len(table), self.seed + i).collect()  # n_samples rows
+            drawn += [(name, r["sample_idx"], r["split_id"], table[r["split_id"]]["obs_split"], table[r["split_id"]]["feat_split"]) for r in taken]
+            for p in sorted({r["split_id"] for r in taken}):
+                rows, feat = table[p]["obs_split"], table[p]["feat_split"]
+                columns = None if feat is None else own.columns(feat)
+                sample = self._columns(own.part(points, rows), columns)
+                self._parts.append((name, p, columns, sample, fit(sample, rows)))
+        self._samples = spark.createDataFrame(drawn, "pipeline string, sample_idx int, partition_id int, obs_split int, feat_split int")
+        return self
+
+    def samples(self) -> DataFrame:
+        """pipeline, sample_idx, partition_id, obs_split, feat_split."""
+        if self._samples is None:
+            raise ValueError("fit() comes first")
+        return self._samples
+
+    def transform(self, apply: bool = True) -> DataFrame:
+        """pipeline, sample_idx and the training part of the sample's partition, through its model unless apply is false."""
+        return self._each(lambda sample, columns, model: model(sample) if apply else sample)
+
+    def predict(self, points: DataFrame) -> DataFrame:
+        """pipeline, sample_idx and the points through the sample's model, with the columns that it was fitted on."""
+        return self._each(lambda sample, columns, model: model(self._columns(points, columns)))
+
+    def summary(self) -> DataFrame:
+        """pipeline, n_samples, n_partitions that they take."""
+        return self.samples().groupBy("pipeline").agg(F.count(F.lit(1)).alias("n_samples"), F.count_distinct("partition_id").alias("n_partitions"))
+
+    def _each(self, run: Callable) -> DataFrame:
+        samples = F.broadcast(self.samples().select("pipeline", "sample_idx", "partition_id"))  # n_samples rows
+        out = None
+        for name, p, columns, sample, model in self._parts:
+            got = run(sample, columns, model).withColumn("pipeline", F.lit(name)).withColumn("partition_id", F.lit(p))
+            out = got if out is None else out.unionByName(got)
+        if out is None:
+            raise ValueError("no samples")
+        return samples.join(out, ["pipeline", "partition_id"]).drop("partition_id")
+
+    @staticmethod
+    def _columns(points: DataFrame, columns: list[int] | None) -> DataFrame:
+        return points if columns is None else take_features(points, columns)
+
+
 def require_split(df: DataFrame) -> DataFrame:
     return require_columns(df, "split_id", "id", "is_train")

@@ -474,7 +474,18 @@ def partition_match_ari(spark, d):
     return rounded(CT.partition_match(truth(spark, d), _levels(spark, d), "ari"), "score")
 
 
-@query()
+_LGAMMA = "exp(lgamma(p + 1) + lgamma(q + 1) + lgamma(t - p + 1) + lgamma(t - q + 1) - lgamma(t + 1) - lgamma(k + 1) - lgamma(p - k + 1) - lgamma(q - k + 1) - lgamma(t - p - q + k + 1))"
+_CELL = "CASE WHEN {0} > 0 THEN {0} / t * ln(t * ({0}) / (({1}) * ({2}))) ELSE 0 END"
+_BIN_MI = " + ".join(_CELL.format(*c) for c in (("n", "sa", "sb"), ("(sa - n)", "sa", "t - sb"), ("(sb - n)", "t - sa", "sb"), ("(t - sa - sb + n)", "t - sa", "t - sb")))
+_BIN_H = "(-{0} / t * ln({0} / t) - (t - {0}) / t * ln((t - {0}) / t))"
+
+
+@query(f"""WITH {_SCORES}, j AS (SELECT class AS target, res_id AS level, cluster, n, sa, sb, (SELECT count(*) FROM p) AS t FROM f),
+    m AS (SELECT target, level, cluster, t, unnest([{{'p': sa, 'q': sb}}, {{'p': sa, 'q': t - sb}}, {{'p': t - sa, 'q': sb}}, {{'p': t - sa, 'q': t - sb}}]) AS c FROM j),
+    y AS (SELECT target, level, cluster, t, c.p AS p, c.q AS q, unnest(range(greatest(1, c.p + c.q - t), least(c.p, c.q) + 1)) AS k FROM m),
+    e AS (SELECT target, level, cluster, sum(k / t * ln(t * k / (p * q)) * {_LGAMMA}) AS emi FROM y GROUP BY ALL),
+    v AS (SELECT target, level, cluster, sa, ({_BIN_MI} - emi) / (({_BIN_H.format('sa')} + {_BIN_H.format('sb')}) / 2 - emi) AS score FROM j JOIN e USING (target, level, cluster))
+    SELECT target, level, cluster, round(score, 6) AS score, sa AS n_cells FROM v QUALIFY row_number() OVER (PARTITION BY target ORDER BY round(score, 9) DESC, level, cluster) = 1""")
 def partition_match_ami(spark, d):
     return rounded(CT.partition_match(truth(spark, d), _levels(spark, d), "ami"), "score")
 
@@ -484,7 +495,14 @@ def correspondence_report(spark, d):
     return rounded(CT.correspondence(CT.partition_match(truth(spark, d), _levels(spark, d))), "mean_score", "min_score", "max_score", "std_score")
 
 
-@query()
+def _assignment_sql(clusters: int) -> str:
+    """Best one-to-one map of the clusters 0, 1, .. to labels: over the sets of labels that the first i clusters take."""
+    step = "s{b} AS MATERIALIZED (SELECT mask | (1::BIGINT << i) AS mask, max(v + w) AS v, arg_max(list_append(path, i), v + w) AS path FROM s{a} JOIN w ON cluster = {a} AND mask & (1::BIGINT << i) = 0 GROUP BY 1)"
+    return f"""{_SCORES}, w AS MATERIALIZED (SELECT cluster, dense_rank() OVER (ORDER BY class) - 1 AS i, (n / sa + n / sb) / 2 AS w FROM f WHERE res_id = 3), names AS (SELECT list(class ORDER BY class) AS names FROM a),
+    s0 AS (SELECT 0::BIGINT AS mask, 0.0::DOUBLE AS v, []::BIGINT[] AS path), {", ".join(step.format(a=c, b=c + 1) for c in range(clusters))}, best AS (SELECT arg_max(path, v) AS path FROM s{clusters})"""
+
+
+@query(f"WITH {_assignment_sql(8)} SELECT id, CAST(names[path[cluster + 1] + 1] AS INTEGER) AS cluster FROM lab, best, names WHERE res_id = 3")
 def assign_consistently(spark, d):
     return CT.assign_consistently(truth(spark, d), codes(spark, d).where("res_id = 3").select("id", "cluster"))
 
@@ -552,7 +570,13 @@ def propagate_k3(spark, d):
     return rounded(A.propagate(weighted_edges(spark, d), _start(spark, d), 3), "p")
 
 
-@query()
+_GAP = "SELECT {b} AS i, max(abs(gap)) AS gap FROM (SELECT sum(p) AS gap FROM (SELECT id, class, p FROM s{b} UNION ALL SELECT id, class, -p FROM s{a}) GROUP BY id, class)"
+_UNTIL = _WALK.replace(", w AS (", ", w AS MATERIALIZED (") + ", s1 AS MATERIALIZED (SELECT src AS id, class, sum(w * p) AS p FROM w JOIN s0 ON s0.id = w.dst GROUP BY ALL), "
+_UNTIL += ", ".join(_STEP.format(a=i, b=i + 1, alpha=0.5).replace(" AS (", " AS MATERIALIZED (", 1) for i in range(1, 12)) + ", gaps AS (" + " UNION ALL ".join(_GAP.format(a=i, b=i + 1) for i in range(1, 12)) + ")"
+_UNTIL += ", stop AS (SELECT coalesce(min(i) FILTER (WHERE gap < 1e-3), 12) AS i FROM gaps), steps AS (" + " UNION ALL ".join(f"SELECT {i} AS i, id, class, p FROM s{i}" for i in range(1, 13)) + ")"
+
+
+@query(f"WITH {_UNTIL} SELECT id, class, round(p, 6) AS p FROM steps JOIN stop USING (i)")
 def propagate_converge(spark, d):
     return rounded(A.propagate_until(weighted_edges(spark, d), _start(spark, d), 12, 1e-3, 0.5)[0], "p")
 
@@ -1279,3 +1303,114 @@ def dataset_round_trip(spark, d):
     path = new_path(spark, "dataset")
     data.write(path)
     return Dataset.read(spark, path).obs.select("id", "truth")
+
+
+# --- fitted samples and models ------------------------------------------------------------------------------------------
+
+_MULTI = {"a": (4, 4), "b": (3, 3)}  # splits and samples of each step
+_MULTI_SPLITS = " UNION ALL ".join(
+    f"SELECT '{name}' AS pipeline, split_id, id, row_number() OVER (PARTITION BY split_id ORDER BY md5('{5 + i}:' || split_id || ':' || id), id) <= floor(0.8 * (SELECT count(*) FROM p) + 1e-9) AS is_train FROM p, (SELECT range AS split_id FROM range({n}))"
+    for i, (name, (n, _)) in enumerate(_MULTI.items())
+)
+_MULTI_PICKS = " UNION ALL ".join(f"SELECT '{name}' AS pipeline, CAST(range AS INTEGER) AS sample_idx, CAST('0x' || substr(md5('{5 + i}:' || range), 1, 8) AS BIGINT) % {n} AS split_id FROM range({m})" for i, (name, (n, m)) in enumerate(_MULTI.items()))
+_MULTI_SQL = f"{P}, s AS ({_MULTI_SPLITS}), picks AS ({_MULTI_PICKS})"
+
+
+def _sampled_steps(spark, d) -> RS.MultiResampler:
+    def fit(train, split):
+        means = cut(train.agg(F.avg(F.col("features")[0]).alias("a"), F.avg(F.col("features")[1]).alias("b")), "means")  # one row
+        return lambda part: part.join(means).select("id", F.round(F.col("features")[0] - F.col("a"), 6).alias("u"), F.round(F.col("features")[1] - F.col("b"), 6).alias("v"))
+
+    return RS.MultiResampler(*[(name, RS.Resampler(n), fit) for name, (n, _) in _MULTI.items()], n_samples=7, seed=5).fit(points(spark, d))
+
+
+@query(f"WITH {_MULTI_SQL}, m AS (SELECT pipeline, split_id, avg(x[1]) AS a, avg(x[2]) AS b FROM p JOIN s USING (id) WHERE is_train GROUP BY ALL) SELECT pipeline, sample_idx, id, round(x[1] - a, 6) AS u, round(x[2] - b, 6) AS v FROM picks JOIN m USING (pipeline, split_id), p")
+def sampled_steps_predict(spark, d):
+    return _sampled_steps(spark, d).predict(points(spark, d))
+
+
+@query(f"WITH {_MULTI_SQL}, m AS (SELECT pipeline, split_id, avg(x[1]) AS a, avg(x[2]) AS b FROM p JOIN s USING (id) WHERE is_train GROUP BY ALL) SELECT pipeline, sample_idx, id, round(x[1] - a, 6) AS u, round(x[2] - b, 6) AS v FROM picks JOIN m USING (pipeline, split_id) JOIN s USING (pipeline, split_id) JOIN p USING (id) WHERE is_train")
+def sampled_steps_transform(spark, d):
+    return _sampled_steps(spark, d).transform()
+
+
+@query(f"WITH {_MULTI_SQL} SELECT pipeline, count(*) AS n_samples, count(DISTINCT split_id) AS n_partitions FROM picks GROUP BY pipeline")
+def sampled_steps_summary(spark, d):
+    return _sampled_steps(spark, d).summary()
+
+
+def _sign_model(spark, d) -> MR.MultiresolutionClustering:
+    """A clustering whose tables are the sign codes, and whose confidence is known."""
+    model = MR.MultiresolutionClustering("leiden", [0.1, 0.2, 0.3])
+    model.labels = codes(spark, d)
+    model.confidence = model.labels.select("res_id", "id", ((F.col("id") % 4 + F.col("res_id")) / 7).alias("confidence"))
+    return model
+
+
+_SURE = _VOTES.replace("sum(1.0::DOUBLE) AS p FROM lab", "sum((id % 4 + res_id) / 7) AS p FROM lab")
+
+
+@query(f"WITH {_SURE} SELECT id, class, round(p / sum(p) OVER (PARTITION BY id), 6) AS p FROM v")
+def model_predict_proba(spark, d):
+    return rounded(_sign_model(spark, d).predict_proba(rules(spark)), "p")
+
+
+@query(f"WITH {_SURE}, m AS (SELECT id, max(round(p, 9)) AS top FROM v GROUP BY id) SELECT v.id, CASE WHEN count(*) = 1 THEN min(class) ELSE 'unassigned' END AS label FROM v JOIN m ON m.id = v.id AND round(v.p, 9) = m.top GROUP BY v.id")
+def model_predict(spark, d):
+    return _sign_model(spark, d).predict(rules(spark))
+
+
+_RUN_PAIRS = _PAIRWISE.replace(f"{P}, {CODES}", _RUNS3.replace(", r AS (", ", r0 AS (")).replace("FROM lab a JOIN lab b", "FROM (SELECT rep AS res_id, id, cluster FROM r0) a JOIN (SELECT rep AS res_id, id, cluster FROM r0) b")
+
+
+@query(f"WITH {_RUN_PAIRS} SELECT 3::BIGINT AS n_repetitions, 'ari' AS consistency_metric, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS std, count(*) AS n_scores, (SELECT count(DISTINCT cluster) FROM r0) AS n_tracks FROM r")
+def consistency_summary(spark, d):
+    out = MR.consistency_summary(_runs3(spark, d)).withColumn("n_scores", F.size("scores").cast("bigint")).withColumn("n_tracks", F.size("clusters").cast("bigint"))
+    return rounded(out.drop("scores", "clusters"), "mean", "std")
+
+
+@query(f"WITH {_FUZZY.format(_SUM)} SELECT q.src AS id, round(sum(q.p * pt.x[1]) / sum(q.p), 5) AS u, round(sum(q.p * pt.x[2]) / sum(q.p), 5) AS v FROM q JOIN p pt ON pt.id = q.dst GROUP BY q.src")
+def umap_transform(spark, d):
+    """Each point placed by the others, in a layout that is known: the first two dimensions."""
+    p = points(spark, d)
+    out = DE.umap_transform(p, p, p.select("id", F.slice("features", 1, 2).alias("position")))
+    return out.select("id", F.round(F.col("position")[0], 5).alias("u"), F.round(F.col("position")[1], 5).alias("v"))
+
+
+@query(f"WITH {_FUZZY.format(_SUM)}, g AS (SELECT q.src AS id, i, sum(q.p * pt.x[i]) / sum(q.p) AS v FROM q JOIN p pt ON pt.id = q.dst, range(1, 65) t(i) GROUP BY ALL) SELECT id, count(*) AS width, round(sum(v), 4) AS total FROM g GROUP BY id")
+def umap_inverse(spark, d):
+    """Each point's features from the others, in a layout that is the features themselves."""
+    p = points(spark, d)
+    layout = p.select("id", F.col("features").alias("position"))
+    out = DE.umap_inverse(layout, layout, p)
+    return out.select("id", F.size("features").cast("bigint").alias("width"), F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+def _covariances(rows: DataFrame, width: int) -> DataFrame:
+    cells = [F.struct(F.lit(i).cast("bigint").alias("i"), F.lit(j).cast("bigint").alias("j"), (F.round(F.covar_samp(F.col("features")[i], F.col("features")[j]), 5) + 0.0).alias("value")) for i in range(width) for j in range(i, width)]
+    return rows.agg(F.array(*cells).alias("all")).select(F.inline("all"))
+
+
+@query("SELECT i, j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value FROM range(5) a(i), range(5) b(j) WHERE i <= j")
+def pca_whitened_covariance(spark, d):
+    """Whitened components are uncorrelated and have variance 1."""
+    p = points(spark, d)
+    return _covariances(DE.pca(p, 5, whiten=True).transform(p), 5)
+
+
+@query("SELECT count(*) AS n_points, 10::BIGINT AS n_clusters, 0::BIGINT AS n_misplaced FROM embeddings")
+def kmeans_nearest(spark, d):
+    """At the end of k-means every point is nearest to the mean of its own cluster."""
+    p = points(spark, d)
+    own = cut(DE.kmeans(p, 10, max_iter=100), "kmeans")
+    means = p.join(own, "id").select("cluster", F.posexplode("features").alias("i", "v")).groupBy("cluster", "i").agg(F.avg("v").alias("v"))
+    means = means.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("mean"))
+    gap = F.aggregate(F.zip_with("features", "mean", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
+    near = p.join(F.broadcast(means.withColumnRenamed("cluster", "c"))).groupBy("id").agg(F.min_by("c", F.struct(F.round(gap, 6), "c")).alias("nearest"))  # ten means
+    out = own.join(near, "id")
+    return out.agg(F.count(F.lit(1)).alias("n_points"), F.count_distinct("cluster").alias("n_clusters"), F.count_if(F.col("nearest") != F.col("cluster")).alias("n_misplaced"))
+
+
+@query("WITH c AS (SELECT l, i FROM (VALUES (1, 2), (2, 4), (3, 8)) t(l, n), range(8) r(i) WHERE i < n) SELECT CAST(l AS INTEGER) AS level, CAST(i AS INTEGER) AS cluster, round((i + 0.5) / count(*) OVER (PARTITION BY l), 6) AS x, -l::DOUBLE AS y FROM c")
+def hierarchy_grid(spark, d):
+    return rounded(H.grid_layout(H.hierarchy_nodes(_levels(spark, d))), "x")
