@@ -811,6 +811,10 @@ def runs(spark, d) -> DataFrame:
     return s.where(F.col("res_id") == F.col("split_id") % 3 + 1).select(F.col("split_id").alias("run"), "id", "cluster")
 
 
+def _cut_runs(spark, d) -> DataFrame:
+    return cut(runs(spark, d), "runs")
+
+
 def _coassoc(spark, d) -> DataFrame:
     return cut(CO.coassociation(runs(spark, d)), "coassociation")
 
@@ -835,20 +839,20 @@ def coassoc_dense(spark, d):
     v AS (SELECT cluster, n AS size, 1 - win / (n * (n - 1)) AS a, 1 - acr / (n * (t - n)) AS b FROM z JOIN w USING (cluster), t)
     SELECT cluster, size, round(CASE WHEN b > a THEN (b - a) / greatest(a, b) ELSE 0 END, 6) AS stability FROM v""")
 def cluster_stability(spark, d):
-    return rounded(CO.cluster_stability(_coassoc(spark, d), truth(spark, d)), "stability")
+    return rounded(CO.cluster_stability(None, truth(spark, d), runs=_cut_runs(spark, d)), "stability")
 
 
 @query(f"""WITH {RUNS}, z AS (SELECT label AS cluster, count(*) AS n FROM p GROUP BY 1), t AS (SELECT count(*) AS t FROM p),
     w AS (SELECT i.label AS cluster, coalesce(sum(weight) FILTER (WHERE i.label = j.label), 0) AS win, coalesce(sum(weight) FILTER (WHERE i.label <> j.label), 0) AS acr FROM cf JOIN p i ON i.id = src JOIN p j ON j.id = dst GROUP BY 1),
     v AS (SELECT cluster, win / (n * (n - 1)) AS a, acr / (n * (t - n)) AS b FROM z JOIN w USING (cluster), t) SELECT cluster, round(a / (a + b), 6) AS stability FROM v""")
 def similarity_stability(spark, d):
-    return rounded(CO.similarity_stability(_coassoc(spark, d), truth(spark, d)), "stability")
+    return rounded(CO.similarity_stability(None, truth(spark, d), runs=_cut_runs(spark, d)), "stability")
 
 
 @query(f"""WITH {RUNS}, z AS (SELECT label AS cluster, count(*) AS n FROM p GROUP BY 1), w AS (SELECT src AS id, j.label AS cluster, sum(weight) AS s FROM cf JOIN p j ON j.id = dst GROUP BY ALL),
     v AS (SELECT w.id, w.cluster, s / (n - CASE WHEN p.label = w.cluster THEN 1 ELSE 0 END) AS m FROM w JOIN z USING (cluster) JOIN p ON p.id = w.id WHERE s > 0) SELECT id, cluster, round(m / sum(m) OVER (PARTITION BY id), 6) AS p FROM v""")
 def soft_membership(spark, d):
-    return rounded(CO.soft_membership(_coassoc(spark, d), truth(spark, d)), "p")
+    return rounded(CO.soft_membership(None, truth(spark, d), runs=_cut_runs(spark, d)), "p")
 
 
 _GROUPS = [(1, 0, "left"), (3, 7, "right"), (2, 3, "right")]
@@ -859,13 +863,13 @@ _ASSIGN = f"""{RUNS}, g AS (SELECT * FROM (VALUES (1, 0, 'left'), (3, 7, 'right'
 @query(f'WITH {_ASSIGN} SELECT id, grp AS "group", round(m / sum(m) OVER (PARTITION BY id), 6) AS p FROM v')
 def assignment_prob(spark, d):
     g = spark.createDataFrame(_GROUPS, "level int, cluster int, group string")
-    return rounded(CO.assignment_probability(_coassoc(spark, d), _levels(spark, d), g), "p")
+    return rounded(CO.assignment_probability(None, _levels(spark, d), g, runs=_cut_runs(spark, d)), "p")
 
 
 @query(f"""WITH {_ASSIGN} SELECT id, grp AS "group", round(m, 6) AS p FROM v UNION ALL SELECT p.id, 'none', round(greatest(1 - coalesce(sum(m), 0), 0), 6) FROM p LEFT JOIN v ON v.id = p.id GROUP BY p.id""")
 def assignment_prob_unassigned(spark, d):
     g = spark.createDataFrame(_GROUPS, "level int, cluster int, group string")
-    return rounded(CO.assignment_probability(_coassoc(spark, d), _levels(spark, d), g, unassigned="none"), "p")
+    return rounded(CO.assignment_probability(None, _levels(spark, d), g, unassigned="none", runs=_cut_runs(spark, d)), "p")
 
 
 # --- hierarchy ------------------------------------------------------------------------------------------------------------

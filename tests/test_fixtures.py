@@ -284,3 +284,72 @@ def test_linkage_and_layout_refuse_before_they_gather(spark, monkeypatch):
         DE.tsne(frame(spark, [(i, [0.0, 1.0]) for i in range(3)], "id bigint, features array<double>"))
 
 
+def test_sums_over_runs_equal_sums_over_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = [(r, i, int(rng.integers(3))) for r in range(4) for i in range(40) if rng.random() < 0.7]
+    rows += [(0, 90, 7), (1, 91, 8)]  # points that never meet another
+    runs = frame(spark, rows, "run int, id bigint, cluster int")
+    own = frame(spark, [(i, i % 5) for i in range(40)] + [(90, 5), (91, 6), (92, 6)], "id bigint, cluster int")  # 92 is in no run
+    c = CO.coassociation(runs)
+
+    def same(a, b, *keys):
+        a, b = (sorted(map(tuple, x.select(*keys, *[n for n in x.columns if n not in keys]).collect())) for x in (a, b))
+        assert [r[: len(keys)] for r in a] == [r[: len(keys)] for r in b]
+        assert np.allclose([r[len(keys) :] for r in a], [r[len(keys) :] for r in b])
+
+    same(CO.cluster_stability(None, own, runs=runs), CO.cluster_stability(c, own), "cluster")
+    same(CO.similarity_stability(None, own, runs=runs), CO.similarity_stability(c, own), "cluster")
+    same(CO.soft_membership(None, own, runs=runs), CO.soft_membership(c, own), "id", "cluster")
+    levels = own.withColumn("level", F.lit(1))
+    groups = frame(spark, [(1, 0, "a"), (1, 2, "a"), (1, 6, "b")], "level int, cluster int, group string")
+    same(CO.assignment_probability(None, levels, groups, runs=runs), CO.assignment_probability(c, levels, groups), "id", "group")
+
+
+def test_samples_of_several_steps(spark):
+    points = frame(spark, [(i, [float(i), float(-i), 1.0]) for i in range(20)], "id bigint, features array<double>")
+    widths = []
+
+    def fit(train, split):
+        widths.append(len(train.first()["features"]))
+        return lambda part: part.select("id", F.size("features").alias("width"))
+
+    steps = RS.MultiResampler(("a", RS.Resampler(3), fit), ("b", RS.Resampler(2, feature_train=0.67, n_feature_splits=2), fit), n_samples=5, seed=1)
+    with pytest.raises(ValueError, match="fit"):
+        steps.samples()
+    steps.fit(points)
+    assert {r["pipeline"]: r["n_samples"] for r in steps.summary().collect()} == {"a": 3, "b": 2}
+    assert set(widths) == {3, 2}
+    got = steps.predict(points).groupBy("pipeline", "sample_idx").agg(F.count(F.lit(1)).alias("n"), F.max("width").alias("w")).collect()
+    assert sorted((r["pipeline"], r["sample_idx"], r["n"], r["w"]) for r in got) == [("a", 0, 20, 3), ("a", 1, 20, 3), ("a", 2, 20, 3), ("b", 0, 20, 2), ("b", 1, 20, 2)]
+    assert steps.transform().count() == 5 * 16 and len(steps.transform(apply=False).first()["features"]) in (2, 3)
+    with pytest.raises(ValueError, match="one step"):
+        RS.MultiResampler()
+
+
+def test_new_points_in_a_layout(spark):
+    from tessera.operators import decompose as DE
+
+    schema = "id bigint, features array<double>"
+    known = frame(spark, [(i, [float(i), 0.0]) for i in range(6)] + [(9, [100.0, 0.0])], schema)
+    layout = known.select("id", F.transform("features", lambda v: v * 2).alias("position"))
+    new = frame(spark, [(50, [2.0, 0.0]), (51, [100.0, 1.0])], schema)
+    at = {r["id"]: r["position"] for r in DE.umap_transform(new, known, layout, 4).collect()}
+    assert at[50] == pytest.approx([4.0, 0.0], abs=0.2)
+    # log2(4) = 2 is the sum of the weights: 1 of the nearest, 200, and about a half each of 10 and 8
+    assert at[51] == pytest.approx([(200 + 5 + 4) / 2, 0.0], abs=0.1)
+    back = {r["id"]: r["features"] for r in DE.umap_inverse(frame(spark, [(50, [4.0, 0.0])], "id bigint, position array<double>"), layout, known, 4).collect()}
+    assert back[50] == pytest.approx([2.0, 0.0], abs=0.2)
+    assert N.knn(known, 1, queries=new).select("src", "dst").orderBy("src").collect() == [(50, 2), (51, 9)]
+
+
+def test_consistency_summary_of_repetitions(spark):
+    rows = [(0, i, i // 3) for i in range(6)] + [(1, i, 1 - i // 3) for i in range(6)]
+    one = MR.consistency_summary(frame(spark, rows, "rep int, id bigint, cluster int")).first()
+    assert (one["n_repetitions"], one["consistency_metric"], one["mean"], one["scores"]) == (2, "ari", 1.0, [1.0])
+    assert [c["track_id"] for c in one["clusters"]] == [0, 1] and {c["mean_consistency"] for c in one["clusters"]} == {1.0}
+
+
+def test_grid_of_levels(spark):
+    nodes = frame(spark, [(0, 4), (1, 7), (1, 2)], "level int, cluster int")
+    got = sorted((r["level"], r["cluster"], r["x"], r["y"]) for r in H.grid_layout(nodes).collect())
+    assert got == [(0, 4, 0.5, 0.0), (1, 2, 0.25, -1.0), (1, 7, 0.75, -1.0)]
