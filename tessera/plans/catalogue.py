@@ -1418,3 +1418,13 @@ def kmeans_nearest(spark, d):
 @query("WITH c AS (SELECT l, i FROM (VALUES (1, 2), (2, 4), (3, 8)) t(l, n), range(8) r(i) WHERE i < n) SELECT CAST(l AS INTEGER) AS level, CAST(i AS INTEGER) AS cluster, round((i + 0.5) / count(*) OVER (PARTITION BY l), 6) AS x, -l::DOUBLE AS y FROM c")
 def hierarchy_grid(spark, d):
     return rounded(H.grid_layout(H.hierarchy_nodes(_levels(spark, d))), "x")
+
+
+@query("SELECT count(*) AS n_points, 0::BIGINT AS n_wrong, TRUE AS recalled FROM embeddings")
+def knn_lsh_recall(spark, d):
+    """Approximate neighbours against exact ones: no found distance is wrong, and nine in ten of the ten nearest are found."""
+    p = points(spark, d)
+    exact = N.knn(p, 10).select("src", "dst", F.col("distance").alias("d"))
+    found = N.lsh_knn(p, 10, bucket_length=4.0).select("src", "dst", "distance")
+    both = exact.join(found, ["src", "dst"], "left").agg(F.count_distinct("src").alias("n_points"), F.count_if(F.abs(F.col("distance") - F.col("d")) > 1e-6).alias("n_wrong"), F.avg(F.col("distance").isNotNull().cast("double")).alias("recall"))
+    return both.select("n_points", "n_wrong", (F.col("recall") >= 0.9).alias("recalled"))
