@@ -12,7 +12,7 @@ from tessera.plans.catalogue import ORACLE, QUERIES
 DATA = "/root/testdata/sf0.001"
 ROUNDS = ("epochs", "max_iter", "tolerance", "max_moves", "max_levels")
 CHOSEN = (
-    "knn_graph knn_graph_ties assign_consistently propagate_converge partition_match_ami sampled_steps_transform model_predict_proba consistency_summary umap_transform kmeans_nearest assignment_prob_unassigned similarity_stability spaced_positions even_picks resolution_range_summary leiden_partition louvain_partition linkage_average_merges linkage_cut_levels single_linkage_forest_size thin_negbin_totals bootstrap_pca_parts tl_louvain_partition knn_graph_self knn_distances_cosine mutual_knn shuffle_splits split_fit_predict consensus_knn consensus_distances consensus_mutual potential_occurrence "
+    "knn_graph knn_graph_ties assign_consistently propagate_converge partition_match_ami sampled_steps_transform model_predict_proba consistency_summary umap_transform kmeans_nearest similarity_stability spaced_positions even_picks resolution_range_summary leiden_partition louvain_partition linkage_average_merges linkage_cut_levels single_linkage_forest_size thin_negbin_totals bootstrap_pca_parts tl_louvain_partition knn_graph_self knn_distances_cosine mutual_knn shuffle_splits split_fit_predict consensus_knn consensus_distances consensus_mutual potential_occurrence "
     "transition_max transition_min fuzzy_union matrix_stats connectivity_probability umap_connectivities agreement_lineitem ami_codes pairwise_ari cluster_match_f1 projection_multires "
     "partition_match_ari annotate_hier_wide predict_vote dominant_class propagate_k3 modularity track_consistency cell_confidence coassoc cluster_stability soft_membership assignment_prob "
     "hierarchy_edges_weight strongest_parent cluster_profile_median dotplot tl_annotate_hierarchical windowed_contingency"

@@ -303,6 +303,7 @@ def test_sums_over_runs_equal_sums_over_pairs(spark):
     levels = own.withColumn("level", F.lit(1))
     groups = frame(spark, [(1, 0, "a"), (1, 2, "a"), (1, 6, "b")], "level int, cluster int, group string")
     same(CO.assignment_probability(None, levels, groups, runs=runs), CO.assignment_probability(c, levels, groups), "id", "group")
+    same(CO.assignment_probability(None, levels, groups, unassigned="none", runs=runs), CO.assignment_probability(c, levels, groups, unassigned="none"), "id", "group")
 
 
 def test_samples_of_several_steps(spark):
