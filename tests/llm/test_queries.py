@@ -43,6 +43,17 @@ def test_query_equals_sql(spark, duck, name):
     assert Counter(tuple(plain(r[c]) for c in names) for r in df.select(names).collect()) == want
 
 
+def test_near_duplicates_have_the_columns_and_rows_of_their_sql(spark, duck):
+    df = QUERIES["op6_neardup"](spark, LARGER)
+    duck.execute(f"CREATE SCHEMA larger; CREATE VIEW larger.documents AS SELECT * FROM '{LARGER}/documents.parquet'; SET schema = 'larger'")
+    try:
+        result = duck.execute(ORACLE["op6_neardup"])
+        names, want = [c[0] for c in result.description], Counter(result.fetchall())
+    finally:
+        duck.execute("SET schema = 'main'")
+    assert df.columns == names and Counter(map(tuple, df.collect())) == want
+
+
 def test_sql_has_the_contracts_columns_only(spark):
     assert set(ORACLE) <= set(QUERIES) and len(QUERIES) == 10
 
