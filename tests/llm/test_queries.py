@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm import kernels as K
 from tessera.llm import langid, lm, quality, toxicity
-from tessera.llm.common import id_bucket
+from tessera.llm.common import id_bucket, uniform
 from tessera.llm.queries import ORACLE, QUERIES
+from tessera.llm.training import labelled_parts, sparse, summed
 from tests.llm.test_edge_cases import WORD, fold
 
 SMALL, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -158,6 +159,43 @@ def test_toxicity_calibrates_on_rows_held_back(spark, monkeypatch):
     assert np.mean([r["predicted"] == r["doc_id"] % 2 for r in got]) > 0.98
 
 
+@pytest.mark.parametrize("options", [{}, {"part_bytes": 1 << 15}])
+def test_toxicity_learns_from_all_labelled_documents(spark, options):
+    """A word that only those of 3,600 documents of a label have that a sample of 3,000 by the hash of their ids leaves out."""
+    ids = spark.range(7200).select("id", (F.col("id") % 2).cast("int").alias("toxic"))
+    order = [r["id"] for r in ids.where("toxic = 1").orderBy(uniform(F.col("id"), F.lit(11)), "id").collect()]
+    rare = set(order[3000:])
+    rows = [(i, f"note w{i % 17} x{i % 5} " + ("gronk" if i in rare else "foul" if i % 2 else "calm" if i % 3 else "plain"), "en") for i in range(7200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = toxicity.fit(docs, ids.withColumnRenamed("id", "doc_id"), F.lit(True), **options)
+    got = toxicity.score(docs, model).collect()
+    assert np.mean([r["predicted"] for r in got if r["doc_id"] in rare]) > 0.99
+    assert np.mean([r["predicted"] == r["doc_id"] % 2 for r in got]) > 0.99
+
+
+def test_labelled_parts_hold_every_labelled_document_once(spark, odd, odd_rows, some_labels):
+    for part_bytes in (1 << 24, 1 << 10):
+        parts, n = labelled_parts(odd, some_labels, "toxic", F.lit(True), lambda t: t.select(["part", "id", "text", "label", "lang"]), "part long, id long, text string, label long, lang string", part_bytes, 1, "doc_id", "text", "lang")
+        want = Counter((i, text, i % 2, lang) for i, text, lang, *_ in odd_rows if i is not None and i < 60)
+        assert Counter((r["id"], r["text"], r["label"], r["lang"]) for r in parts.collect()) == want and (n > 1) == (part_bytes < 1 << 20)
+
+
+def test_matrices_are_added_as_a_tree(spark):
+    rng = np.random.default_rng(2)
+    found = [rng.integers(0, 3, (9, 2)) * (rng.random((9, 1)) < 0.4) for _ in range(300)]
+    rows = spark.createDataFrame([(i, *map(bytearray, sparse(m).values())) for i, m in enumerate(found)], "part long, at binary, v binary")
+    assert (summed(rows, 300, (9, 2)) == sum(found)).all()
+
+
+def test_threshold_from_counts():
+    counts = np.zeros((1000, 2))
+    counts[100:300, 0], counts[250, 1], counts[600:700, 1] = 3, 2, 5
+    p = [(k + 0.5) / 1000 for k in range(1000)]
+    errors = lambda t: sum(c[1] for x, c in zip(p, counts, strict=True) if x < t) / 502 + sum(c[0] for x, c in zip(p, counts, strict=True) if x >= t) / 600
+    t = toxicity.best_threshold(counts)
+    assert t == pytest.approx(0.45) and errors(t) == pytest.approx(min(errors(x) for x in (*p, 1)))
+
+
 def test_lm_scores_by_hand(spark, odd, odd_rows):
     options = {"states": 3, "symbols": 256, "rounds": 2, "stretch": 16}
     train = F.coalesce(id_bucket("doc_id", 5) != 1, F.lit(False))
