@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import annotate as A
 from tessera.operators import coassoc as CO
 from tessera.operators import contingency as CT
+from tessera.operators import decompose as DE
 from tessera.operators import edges as E
 from tessera.operators import fuzzy as FZ
 from tessera.operators import hierarchy as H
@@ -354,3 +355,14 @@ def test_grid_of_levels(spark):
     nodes = frame(spark, [(0, 4), (1, 7), (1, 2)], "level int, cluster int")
     got = sorted((r["level"], r["cluster"], r["x"], r["y"]) for r in H.grid_layout(nodes).collect())
     assert got == [(0, 4, 0.5, 0.0), (1, 2, 0.25, -1.0), (1, 7, 0.75, -1.0)]
+
+
+def test_settled_kmeans_leaves_no_point_misplaced(spark):
+    x = np.random.default_rng(3).standard_normal((300, 3))
+    points = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)], "id bigint, features array<double>")
+    got = {r["id"]: r["cluster"] for r in DE.kmeans(points, 6, max_iter=1, settle=True).collect()}
+    own = np.array([got[i] for i in range(300)])
+    means = np.stack([x[own == c].mean(0) for c in range(6)])
+    gap = ((x[:, None] - means[None]) ** 2).sum(2)
+    assert (gap[np.arange(300), own] <= gap.min(1) + 1e-12).all()
+    assert sorted(set(own)) == list(range(6))
