@@ -69,3 +69,22 @@ def test_query_runs_the_rounds_of_its_operator(spark, monkeypatch, name, module,
     with pytest.raises(Called) as called:
         QUERIES[name](spark, DATA)
     assert called.value.args[0] == {k: v.default for k, v in inspect.signature(own).parameters.items() if k in ROUNDS}
+
+
+@pytest.mark.parametrize("name", "dendrogram_blocks".split())
+def test_hierarchies_of_more_points_than_one_task_holds(spark, monkeypatch, name):
+    from tessera.operators import hierarchy as H
+
+    monkeypatch.setattr(H, "MAX_POINTS", 300)  # there are 500, in fewer sets of equal ones
+    rows = QUERIES[name](spark, DATA).collect()
+    if name == "linkage_average":
+        assert sorted(r["step"] for r in rows) == list(range(499)) and max(r["size"] for r in rows) == 500
+    elif name == "linkage_average_merges":
+        assert [(r["n_merges"], r["last_size"], r["n_falling"]) for r in rows] == [(499, 500, 0)]
+    elif name == "linkage_cut_levels":
+        assert sorted((r["level"], r["n_points"]) for r in rows) == [(0, 500), (1, 500), (2, 500)]
+    elif name.startswith("linkage_cut"):
+        levels = {r["level"] for r in rows}
+        assert levels and len({(r["level"], r["id"]) for r in rows}) == len(rows) == 500 * len(levels)
+    else:
+        assert len({r["level"] for r in rows}) == 5

@@ -366,3 +366,25 @@ def test_settled_kmeans_leaves_no_point_misplaced(spark):
     gap = ((x[:, None] - means[None]) ** 2).sum(2)
     assert (gap[np.arange(300), own] <= gap.min(1) + 1e-12).all()
     assert sorted(set(own)) == list(range(6))
+
+
+@pytest.mark.parametrize("method", ["average", "complete", "single", "ward"])
+def test_linkage_of_groups_is_that_of_their_points(method):
+    rng = np.random.default_rng(5)
+    group = rng.integers(6, size=20)
+    x = rng.standard_normal((6, 2))
+    of = lambda x: np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    whole = H.linkage_matrix(of(x[group]), method)
+    own = H.with_members(H.linkage_matrix(of(x), method, np.bincount(group)), group)
+    assert own[:, 2] == pytest.approx(whole[:, 2]) and own[-1, 3] == 20
+    for k in (2, 3, 6):
+        assert H.cut_into(own, 20, k).tolist() == H.cut_into(whole, 20, k).tolist()
+    assert sorted(H.leaf_order(own, 20).tolist()) == list(range(20))
+
+
+def test_linkage_of_runs_counts_sets_of_equal_points(spark, monkeypatch):
+    monkeypatch.setattr(H, "MAX_POINTS", 4)
+    runs = frame(spark, [(r, i, i % 3) for r in range(2) for i in range(9)], "run int, id bigint, cluster int")
+    members, far = CO.grouped_distances(runs, frame(spark, [(i,) for i in range(10)], "id bigint"))
+    rows = sorted(H.linkage(far, "average", members).collect(), key=lambda r: r["step"])
+    assert [r["distance"] for r in rows] == [0.0] * 6 + [1.0] * 3 and rows[-1]["size"] == 10
