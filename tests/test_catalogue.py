@@ -71,7 +71,7 @@ def test_query_runs_the_rounds_of_its_operator(spark, monkeypatch, name, module,
     assert called.value.args[0] == {k: v.default for k, v in inspect.signature(own).parameters.items() if k in ROUNDS}
 
 
-@pytest.mark.parametrize("name", "dendrogram_blocks linkage_average linkage_average_merges linkage_cut linkage_cut_levels".split())
+@pytest.mark.parametrize("name", "dendrogram_blocks linkage_average linkage_average_merges linkage_cut linkage_cut_levels linkage_cut_natural".split())
 def test_hierarchies_of_more_points_than_one_task_holds(spark, monkeypatch, name):
     from tessera.operators import hierarchy as H
 
