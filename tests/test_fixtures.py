@@ -388,3 +388,21 @@ def test_linkage_of_runs_counts_sets_of_equal_points(spark, monkeypatch):
     members, far = CO.grouped_distances(runs, frame(spark, [(i,) for i in range(10)], "id bigint"))
     rows = sorted(H.linkage(far, "average", members).collect(), key=lambda r: r["step"])
     assert [r["distance"] for r in rows] == [0.0] * 6 + [1.0] * 3 and rows[-1]["size"] == 10
+
+
+def test_pairs_of_runs_are_listed_without_a_shuffle_of_pairs(spark, monkeypatch):
+    monkeypatch.setattr(CO, "BLOCK", 3)
+    rng = np.random.default_rng(1)
+    own = [(r, i, int(rng.integers(3))) for r in range(3) for i in range(25) if rng.random() < 0.7 and i != 7]
+    runs = frame(spark, own, "run int, id bigint, cluster int")
+    held = {}
+    for r, i, c in own:
+        held.setdefault(i, {})[r] = c
+    want = {}
+    for i in range(25):
+        for j in range(i + 1, 25):
+            both = held.get(i, {}).keys() & held.get(j, {}).keys()
+            want[i, j] = sum(held[i][r] == held[j][r] for r in both) / len(both) if both else 0.0
+    got = CO.coassociation(runs)
+    assert as_dict(got, "src", "dst") == pytest.approx({k: v for k, v in want.items() if v})
+    assert "hashpartitioning(src" not in got._jdf.queryExecution().executedPlan().toString()
