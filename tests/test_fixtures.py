@@ -405,4 +405,7 @@ def test_pairs_of_runs_are_listed_without_a_shuffle_of_pairs(spark, monkeypatch)
             want[i, j] = sum(held[i][r] == held[j][r] for r in both) / len(both) if both else 0.0
     got = CO.coassociation(runs)
     assert as_dict(got, "src", "dst") == pytest.approx({k: v for k, v in want.items() if v})
-    assert "hashpartitioning(src" not in got._jdf.queryExecution().executedPlan().toString()
+    dense = CO.dense_distances(None, frame(spark, [(i,) for i in range(25)], "id bigint"), runs=runs)
+    assert as_dict(dense, "src", "dst", value="distance") == pytest.approx({k: 1 - v for k, v in want.items()})
+    for df in (got, dense):
+        assert "hashpartitioning(src" not in df._jdf.queryExecution().executedPlan().toString()
