@@ -409,3 +409,20 @@ def test_pairs_of_runs_are_listed_without_a_shuffle_of_pairs(spark, monkeypatch)
     assert as_dict(dense, "src", "dst", value="distance") == pytest.approx({k: 1 - v for k, v in want.items()})
     for df in (got, dense):
         assert "hashpartitioning(src" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_coassociation_matrix_stores_no_pairs(spark, monkeypatch):
+    from tessera.plans import pp
+    from tessera.sources.dataset import Dataset
+
+    names = []
+    for module in (pp, CO):
+        monkeypatch.setattr(module, "cut", lambda df, name="step", own=module.cut: names.append((name, df.columns)) or own(df, name))
+    points = frame(spark, [(i, [float(i // 10), float(i % 10)]) for i in range(20)], "id bigint, features array<double>")
+    halves = lambda p, s: p.select("id", (F.col("features")[0] > 0).cast("int").alias("cluster"))
+    data = pp.coassociation_matrix(Dataset(points), 3, clusterers=[halves])
+    got = as_dict(data.obsp["coassociation_connectivities"], "src", "dst")
+    assert all(got[j, i] == v == 1.0 and i != j and i // 10 == j // 10 for (i, j), v in got.items()) and len(got) > 100
+    walk = as_dict(data.obsp["coassociation_transitions"], "src", "dst")
+    assert walk.keys() == got.keys() and sum(v for (i, _), v in walk.items() if i == 0) == pytest.approx(1)
+    assert not [n for n, columns in names if "dst" in columns]
