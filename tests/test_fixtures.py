@@ -426,3 +426,24 @@ def test_coassociation_matrix_stores_no_pairs(spark, monkeypatch):
     walk = as_dict(data.obsp["coassociation_transitions"], "src", "dst")
     assert walk.keys() == got.keys() and sum(v for (i, _), v in walk.items() if i == 0) == pytest.approx(1)
     assert not [n for n, columns in names if "dst" in columns]
+
+
+@pytest.mark.parametrize("bucket_length", [0.4, 8.0])
+def test_lsh_neighbours_are_the_nearest_that_share_a_bucket(spark, bucket_length):
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    x = np.random.default_rng(2).standard_normal((60, 4))
+    x[7] = x[3]
+    points = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)], "id bigint, features array<double>")
+    got = N.lsh_knn(points, 5, bucket_length, 3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan  # no rows of candidates
+    v = points.select("id", array_to_vector("features").alias("v"))
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=3, seed=0).fit(v)
+    h = {r["id"]: [b[0] for b in r["h"]] for r in model.transform(v).collect()}
+    want = set()
+    for i in range(60):
+        near = sorted((float(np.sqrt(((x[i] - x[j]) ** 2).sum())), j) for j in range(60) if j != i and any(a == b for a, b in zip(h[i], h[j], strict=True)))
+        want |= {(i, j, k + 1) for k, (_, j) in enumerate(near[:5])}
+    assert {(r["src"], r["dst"], r["rank"]) for r in got.collect()} == want
