@@ -447,3 +447,27 @@ def test_lsh_neighbours_are_the_nearest_that_share_a_bucket(spark, bucket_length
         near = sorted((float(np.sqrt(((x[i] - x[j]) ** 2).sum())), j) for j in range(60) if j != i and any(a == b for a, b in zip(h[i], h[j], strict=True)))
         want |= {(i, j, k + 1) for k, (_, j) in enumerate(near[:5])}
     assert {(r["src"], r["dst"], r["rank"]) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize(("metric", "p"), [("chebyshev", 1.0)])
+def test_screened_distances_hold_their_bound(metric, p):
+    from tessera.functions import distance as D
+
+    rng = np.random.default_rng(4)
+    x, y = rng.standard_normal((20, 9)), rng.standard_normal((5000, 9))
+    y[:20] = x * (1 + 1e-7)  # nearer than float32 can tell
+    y[20:40] = x + 1e-30
+    y[40:60] = 1e-20 * rng.standard_normal((20, 9))
+    x[10:] *= 1e-20
+    for scale in (1.0, 1e200, 1e-200):
+        d, slack = D.screen(x * scale, y * scale, metric, p)
+        top = max(np.abs(x).max(), np.abs(y).max())
+        true = D.exact((x / top)[:, None], (y / top)[None], metric, p)
+        assert d.dtype == np.float32 and (np.abs(d - true) <= slack).all()
+        ids = np.arange(20)
+        r, near, far = N._best(x * scale, ids, y * scale, 100 + np.arange(5000), 5, metric, p, False)
+        if scale == 1.0:
+            true = D.exact(x[:, None], y[None], metric, p)
+            want = [sorted(zip(true[i], 100 + np.arange(5000), strict=True))[:5] for i in range(20)]
+            assert list(near) == [int(j) for w in want for _, j in w] and list(far) == [float(v) for w in want for v, _ in w]
+    assert D.screen(x * np.inf, y, metric, p) is None and D.screen(x, y, "minkowski", 0.5) is None
