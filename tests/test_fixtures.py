@@ -449,7 +449,7 @@ def test_lsh_neighbours_are_the_nearest_that_share_a_bucket(spark, bucket_length
     assert {(r["src"], r["dst"], r["rank"]) for r in got.collect()} == want
 
 
-@pytest.mark.parametrize(("metric", "p"), [("chebyshev", 1.0), ("manhattan", 1.0)])
+@pytest.mark.parametrize(("metric", "p"), [("manhattan", 1.0), ("chebyshev", 1.0), ("minkowski", 3.0), ("minkowski", 1.5), ("minkowski", 4.0)])
 def test_screened_distances_hold_their_bound(metric, p):
     from tessera.functions import distance as D
 
