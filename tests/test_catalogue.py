@@ -88,3 +88,13 @@ def test_hierarchies_of_more_points_than_one_task_holds(spark, monkeypatch, name
         assert levels and len({(r["level"], r["id"]) for r in rows}) == len(rows) == 500 * len(levels)
     else:
         assert len({r["level"] for r in rows}) == 5
+
+
+def test_recall_of_lsh_lists_no_candidates(spark, duck, monkeypatch):
+    from tessera.operators import knn as N
+
+    own, plans = N.lsh_knn, []
+    monkeypatch.setattr(N, "lsh_knn", lambda *a, **b: [out := own(*a, **b), plans.append(out._jdf.queryExecution().executedPlan().toString())][0])
+    got = [tuple(r) for r in QUERIES["knn_lsh_recall"](spark, DATA).collect()]
+    assert got == duck.execute(ORACLE["knn_lsh_recall"]).fetchall()
+    assert "Join" not in plans[0] and "Generate" not in plans[0]
