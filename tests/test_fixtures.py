@@ -471,3 +471,41 @@ def test_screened_distances_hold_their_bound(metric, p):
             want = [sorted(zip(true[i], 100 + np.arange(5000), strict=True))[:5] for i in range(20)]
             assert list(near) == [int(j) for w in want for _, j in w] and list(far) == [float(v) for w in want for v, _ in w]
     assert D.screen(x * np.inf, y, metric, p) is None and D.screen(x, y, "minkowski", 0.5) is None
+
+
+@pytest.mark.parametrize("kept", [1 << 24, 0])
+def test_tsne_is_dealt_to_tasks_and_takes_steps_of_the_definition(spark, monkeypatch, kept):
+    monkeypatch.setattr(DE, "SLAB", 100)
+    monkeypatch.setattr(DE, "KEPT", kept)
+    n = 40
+    x = np.random.default_rng(6).standard_normal((n, 5))
+    points = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)], "id bigint, features array<double>")
+    out = DE.tsne(points, epochs=2, perplexity=8.0)
+    assert out.rdd.getNumPartitions() > 1
+    got = {r["id"]: r["position"] for r in out.collect()}
+    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    p = np.zeros((n, n))
+    for i in range(n):
+        lo, hi = 0.0, 100.0
+        for _ in range(60):
+            b = (lo + hi) / 2
+            k = np.where(np.arange(n) == i, 0, np.exp(-d[i] * b))
+            k /= k.sum()
+            lo, hi = (b, hi) if -(k[k > 0] * np.log(k[k > 0])).sum() > np.log(8.0) else (lo, b)
+        p[i] = k
+    p = np.maximum((p + p.T) / (2 * n), 1e-12)
+    y = np.random.Generator(np.random.Philox(0)).standard_normal((n, 2)) * 1e-4
+    move = 0
+    for _ in range(2):
+        q = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(2))
+        np.fill_diagonal(q, 0)
+        move = 0.5 * move - 200 * 4 * (((12 * p - q / q.sum()) * q)[:, :, None] * (y[:, None] - y[None])).sum(1)
+        y = y + move
+        y = y - y.mean(0)
+    assert np.array([got[i] for i in range(n)]) == pytest.approx(y, rel=1e-6)
+
+
+def test_umap_layout_takes_more_than_ten_thousand_points(spark):
+    ring = spark.range(10_100).selectExpr("id as src", "(id + 1) % 10100 as dst", "1.0D as weight")
+    rows = DE.umap_layout(ring, epochs=2).collect()
+    assert len(rows) == 10_100 and np.isfinite([r["position"] for r in rows]).all()
